@@ -109,3 +109,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     plan = plan.withColumnRenamed("source", "s")
     out = base.join(plan, F.col("s").eqNullSafe(F.col("source")))
     return out.select("doc_id", "source", "h", "size", "source_size", "target", *((F.col("size") * (F.col(f"plan{i}.copies") + (F.col("h") <= F.col(f"plan{i}.cut")).cast("long"))).alias(c) for i, c in enumerate(label)))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", scratch: Scratch | None = None) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it (0 to cap times); empty texts once.
+
+    The thresholds are computed once; the filter is then a comparison in a pass over the documents, without a join by id.
+    """
+    s = scratch or Scratch(docs.sparkSession)
+    base = s.keep(sized(docs, id_col, text_col, source_col), "sizes")
+    goal = s.keep(targets(base, weights, cap), "targets")
+    plan = goal.withColumn("name", F.lit(1.0)).withColumn("copies", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(1).cast("int"))
+    cut = thresholds(base, plan.select("source", "name", (F.col("target") - F.col("copies") * F.col("source_size")).alias("budget")), s)
+    plan = s.keep(plan.select(F.col("source").alias("plan_source"), F.col("copies").alias("plan_copies")).join(cut.select(F.col("source").alias("cut_source"), F.col("cut").alias("plan_cut")), F.col("plan_source").eqNullSafe(F.col("cut_source"))).drop("cut_source"), "plan")
+    h = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), 1, HASH_BITS // 4), 16, 10).cast("long")
+    out = docs.join(plan, F.col(source_col).eqNullSafe(F.col("plan_source")))
+    empty = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    times = F.when(empty, 1).otherwise(F.col("plan_copies") + (h <= F.col("plan_cut")).cast("int"))
+    return out.withColumn("plan_times", times).where("plan_times > 0").withColumn("plan_times", F.explode(F.array_repeat(F.lit(1), F.col("plan_times")))).select(*(docs[c] for c in docs.columns))

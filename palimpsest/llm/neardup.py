@@ -229,3 +229,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """The rows of docs, all columns, without all but one of each group of near-duplicates. Rows with a null id stay;
+    of rows that share an id, the first by text stays."""
+    s = scratch or Scratch(docs.sparkSession)
+    found = s.keep(near_duplicates(docs, k, percent, id_col, text_col, s), "groups")
+    gone = found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    out = docs.join(gone, id_col, "left_anti")
+    twice = s.keep(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col)), "repeated")
+    if not twice.limit(1).count():
+        return out
+    again = out.join(twice, id_col, "left_semi").groupBy(id_col).agg(F.min(F.struct(F.col(text_col), F.struct(*(c for c in docs.columns)))).alias("x")).select("x.col2.*")
+    return out.join(twice, id_col, "left_anti").select(docs.columns).unionByName(again.select(docs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontam, langid, mixing, neardup, quality, secrets, sharding, toxicity
+from palimpsest.llm import decontam, langid, media, mixing, neardup, quality, secrets, sharding, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "taken_50")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, by the separator scan over its flattened token files."""
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log weight, Gumbel key and whether the resampling keeps it, for every document."""
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
@@ -47,6 +52,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments of every recording with an id divisible by 50 among all recordings, rendered from all embeddings."""
+    return media.align_recordings(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", rendered=True)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, similarity 0.8, over all documents."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
@@ -61,10 +71,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
+    "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
     "op7_language": op7_language,
+    "op8_media": op8_media,
     "op9_near_dedup": op9_near_dedup,
     "op10_sharding": op10_sharding,
 }
