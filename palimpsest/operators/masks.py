@@ -117,14 +117,18 @@ def drop_words(df: DataFrame, key: str, text: str, m: str, seed: int, keep_one:
 
     keep_one: one word always stays (the older rule); else the count is exact, and texts may become empty.
     """
-    w = F.filter(F.split(F.regexp_replace(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), "^ | $", ""), " "), lambda x: x != "")
+    w = F.filter(F.split(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), " "), lambda x: x != "")
     order = lambda i: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string")))
-    ranked = F.array_sort(F.transform("_w", lambda x, i: F.struct(order(i).alias("o"), i.alias("i"))))
-    take = F.greatest(F.lit(0), F.least(F.col(m), F.size("_w") - (1 if keep_one else 0)))
-    gone = F.transform(F.slice(F.col("_r"), F.lit(1), F.col("_m")), lambda x: x["i"])
-    x = df.withColumn("_w", w).withColumn("_r", ranked).withColumn("_m", take.cast("int"))
-    rest = F.array_join(F.transform(F.filter(F.transform("_w", lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda p: ~F.array_contains("_g", p["i"])), lambda p: p["v"]), " ")
-    return x.withColumn("_g", gone).withColumn("dropped", F.when(F.col(m) <= 0, F.col(text)).otherwise(rest)).drop("_w", "_r", "_m", "_g")
+
+    def drop(v: Column) -> Column:
+        ranked = F.array_sort(F.transform(v, lambda x, i: F.struct(order(i).alias("o"), i.alias("i"), x.alias("x"))))
+        gone = F.greatest(F.lit(0), F.least(F.col(m).cast("int"), F.size(v) - (1 if keep_one else 0)))
+        kept = F.slice(ranked, gone + 1, F.size(v) + 1)
+        return F.array_join(F.transform(F.array_sort(F.transform(kept, lambda p: F.struct(p["i"], p["x"]))), lambda p: p["x"]), " ")
+
+    # The words are bound once, as a lambda's variable.
+    rest = F.element_at(F.transform(F.array(w), drop), 1)
+    return df.withColumn("dropped", F.when(F.col(m) <= 0, F.col(text)).otherwise(rest))
 
 
 __all__ = ["ENTITY", "SOURCE", "TEMPORAL", "WIRE", "cut", "drop_words", "hash_order", "mask", "patterns", "regex_spans", "spans"]
