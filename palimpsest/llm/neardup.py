@@ -55,12 +55,39 @@ def _registers(col) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(len(col), S.M)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 2000):
-            part = batch.slice(i, 2000)
-            keys = S.band_keys(_registers(part.column(1))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), S.BANDS))], ["key", "node"])
+def _bands(lo: int, hi: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                keys = S.band_keys(_registers(part.column(1)), lo, hi).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), hi - lo))], ["key", "node"])
+
+    return run
+
+
+def families(nodes: DataFrame, s: Scratch, steps: tuple[int, ...] = (16, S.BANDS)) -> DataFrame:
+    """(node, family) of the nodes (node, regs) that share bands, directly or through others.
+
+    The first bands are joined first; nodes that they tie together count as one in the buckets of the other bands, so
+    that a large group, which fills a bucket in most bands, is not linked again in each.
+    """
+    label, lo = None, 0
+    for hi in steps:
+        own = nodes if label is None else nodes.join(label, "node", "left").select(F.coalesce("family", "node").alias("node"), "regs")
+        rows = own.select("node", "regs").mapInArrow(_bands(lo, hi), "key long, node long")
+        stars = s.keep(rows.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last"), "stars")
+        more = rows.join(stars, "key").where("node <> lead and node <> last").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+        edges = stars.select(F.col("lead").alias("a"), F.col("last").alias("b")).unionByName(more)
+        got = connected_components(edges, scratch=s).select(F.col("node").alias("old"), F.col("component").alias("new"))
+        if label is None:
+            label = got.select(F.col("old").alias("node"), F.col("new").alias("family"))
+        else:
+            kept = label.join(got, F.col("family") == F.col("old"), "left").select("node", F.coalesce("new", "family").alias("family"))
+            fresh = got.join(label.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("new").alias("family"))
+            label = s.keep(kept.unionByName(fresh), "families")
+        lo = hi
+    return label
 
 
 def _forest(adjacent: np.ndarray, nodes: np.ndarray, out: list) -> None:
@@ -98,28 +125,16 @@ def _screen(threshold: float):
         nodes, n, regs = table.column("node").to_numpy(), table.column("n").to_numpy(), _registers(table.column("payload"))
         for part in _families(table):
             f, r, size = len(part), regs[part], n[part]
+            i, j = np.triu_indices(f, 1)
+            above, below, same = (np.concatenate(x) for x in zip(*(S.compare(r, x) for x in range(f - 1)), strict=True))
             ok = np.zeros((f, f), bool)
-            for i in range(f - 1):
-                above, below, same = S.compare(r, i)
-                ok[i, i + 1 :] = S.plausible(above, below, same, np.full(f - i - 1, size[i]), size[i + 1 :], threshold) if f < 64 else 0
-                if f >= 64:
-                    ok[i, i + 1 :] = _quick(above, below, same, size[i], size[i + 1 :], threshold)
+            ok[i, j] = S.plausible(above, below, same, size[i], size[j], threshold)
             _forest(ok | ok.T, nodes[part], out)
         return _edges(out)
 
     return run
 
 
-def _quick(above, below, same, n, rest, threshold: float) -> np.ndarray:
-    """plausible(), without the search where the agreement alone settles it."""
-    near = same >= threshold * S.M
-    out = near & (np.minimum(n, rest) >= threshold * np.maximum(n, rest) - 1e-9)
-    i = np.flatnonzero(~near & (same >= 0.3 * S.M))
-    if len(i):
-        out[i] = S.plausible(above[i], below[i], same[i], np.full(len(i), n), rest[i], threshold)
-    return out
-
-
 def intersections(value: np.ndarray, doc: np.ndarray, docs: int, wide: int = 4096) -> np.ndarray:
     """Sizes of the intersections of sets given as (element, document), by products of 0/1 blocks of columns."""
     order = np.argsort(value, kind="stable")
@@ -198,28 +213,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     ship(spark)
     s = scratch or Scratch(spark)
     threshold = percent / 100
+    # Groups are small in bytes and long in work: not to be merged into few tasks.
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = s.keep(src.mapInArrow(_sign(k), "id long, n long, d1 long, d2 long, regs binary"), "sketches")
     live = sig.where("n > 0 and id is not null")
     classes = s.keep(live.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
 
-    bands = classes.select("node", "regs").mapInArrow(_bands, "key long, node long")
-    stars = bands.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("c"))
-    pairs = s.keep(stars.where("c > 1 and lead < last"), "stars")
-    more = bands.join(pairs.where("c > 2").select("key", "lead"), "key").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    edges = pairs.select(F.col("lead").alias("a"), F.col("last").alias("b")).unionByName(more.where("a <> b"))
-    family = connected_components(edges, scratch=s)
+    family = families(classes.select("node", "regs"), s)
 
     node = classes.select("node", "n", F.col("regs").alias("payload"))
-    members = s.keep(family.select("node", F.col("component").alias("family")).join(node.select("node", "n"), "node").select("node", "family", "n", F.lit(S.M).cast("long").alias("w")), "family")
+    members = s.keep(family.join(node.select("node", "n"), "node").select("node", "family", "n", F.lit(S.M).cast("long").alias("w")), "family")
     grouped = _groups(members, threshold, s).join(node, "node")
-    plausible = grouped.groupBy("gid").applyInArrow(_screen(threshold), _EDGES)
+    plausible = grouped.repartition(spread, "gid").groupBy("gid").applyInArrow(_screen(threshold), _EDGES)
     family = connected_components(plausible, scratch=s)
 
     members = s.keep(family.select("node", F.col("component").alias("family")).join(node.select("node", "n"), "node").select("node", "family", "n", F.col("n").alias("w")), "plausible")
     texts = s.keep(src.withColumnRenamed("id", "node").join(members.select("node"), "node", "left_semi").select("node", F.col("text").alias("payload")), "texts")
     grouped = _groups(members, threshold, s).join(texts, "node")
-    links = grouped.groupBy("gid").applyInArrow(_verify(k, percent), _EDGES)
+    links = grouped.repartition(spread, "gid").groupBy("gid").applyInArrow(_verify(k, percent), _EDGES)
     linked = connected_components(links, scratch=s)
 
     label = classes.join(linked, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))

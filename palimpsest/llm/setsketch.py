@@ -50,16 +50,22 @@ def sketches(value: np.ndarray, doc: np.ndarray, docs: int, m: int = M) -> np.nd
     return regs
 
 
-def band_keys(regs: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
-    """One 64-bit key for each band (docs x bands); a band is a fixed random choice of registers."""
+def _choices(rows: int, bands: int, m: int) -> np.ndarray:
     pick = np.random.default_rng(20240229)
-    out = np.empty((len(regs), bands), np.uint64)
-    for b in range(bands):
-        cols = pick.choice(regs.shape[1], rows, replace=False)
+    return np.array([pick.choice(m, rows, replace=False) for _ in range(bands)])
+
+
+_PICKS = _choices(ROWS, BANDS, M)
+
+
+def band_keys(regs: np.ndarray, lo: int = 0, hi: int = BANDS) -> np.ndarray:
+    """One 64-bit key for each band from lo to hi (docs x bands); a band is a fixed random choice of registers."""
+    out = np.empty((len(regs), hi - lo), np.uint64)
+    for b in range(lo, hi):
         h = np.full(len(regs), b + 1, np.uint64)
-        for c in cols:
+        for c in _PICKS[b]:
             h = mix(h ^ regs[:, c].astype(np.uint64))
-        out[:, b] = h
+        out[:, b - lo] = h
     return out
 
 
@@ -88,19 +94,24 @@ def estimate(above, below, same, n1, n2, steps: int = 40):
     return (lo + hi) / 2
 
 
+#: Similarities that stand against the threshold in plausible(), as shares of it.
+GRID = (0.1, 0.3, 0.5, 0.65, 0.75, 0.85, 0.92)
+
+
 def plausible(above, below, same, n1, n2, threshold: float, ratio: float = 50.0) -> np.ndarray:
-    """False where the sizes forbid the threshold, or twice the log likelihood ratio against it is over ``ratio``
-    (a true pair is lost with a probability below 1e-11)."""
+    """False where the sizes forbid the threshold, or where some lower similarity of a grid is so much likelier that twice the
+    log likelihood ratio is over ``ratio`` (a true pair is lost with a probability below 1e-11)."""
     n1, n2 = n1.astype(float), n2.astype(float)
     out = np.minimum(n1, n2) >= threshold * np.maximum(n1, n2) - 1e-9
-    i = np.flatnonzero(out)
+    i = np.flatnonzero(out & (same < threshold * (above + below + same)))
     if len(i):
         above, below, same, n1, n2 = (x[i] for x in (above, below, same, n1, n2))
-        best = estimate(above, below, same, n1, n2)
         u, v = n1 / (n1 + n2), n2 / (n1 + n2)
-        at = np.minimum(np.full(len(u), threshold), np.minimum(u / v, v / u))
-        gain = 2 * (likelihood(best, above, below, same, u, v) - likelihood(at, above, below, same, u, v))
-        out[i] = (best >= at) | (gain <= ratio)
+        at = likelihood(np.minimum(threshold, np.minimum(u / v, v / u)), above, below, same, u, v)
+        ok = np.ones(len(i), bool)
+        for g in GRID:
+            ok &= 2 * (likelihood(g * threshold, above, below, same, u, v) - at) <= ratio
+        out[i] = ok
     return out
 
 
