@@ -123,7 +123,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, i
     cut = thresholds(base, plan.select("source", "name", (F.col("target") - F.col("copies") * F.col("source_size")).alias("budget")), s)
     plan = s.keep(plan.select(F.col("source").alias("plan_source"), F.col("copies").alias("plan_copies")).join(cut.select(F.col("source").alias("cut_source"), F.col("cut").alias("plan_cut")), F.col("plan_source").eqNullSafe(F.col("cut_source"))).drop("cut_source"), "plan")
     h = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), 1, HASH_BITS // 4), 16, 10).cast("long")
-    out = docs.join(plan, F.col(source_col).eqNullSafe(F.col("plan_source")))
     empty = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    times = F.when(empty, 1).otherwise(F.col("plan_copies") + (h <= F.col("plan_cut")).cast("int"))
-    return out.withColumn("plan_times", times).where("plan_times > 0").withColumn("plan_times", F.explode(F.array_repeat(F.lit(1), F.col("plan_times")))).select(*(docs[c] for c in docs.columns))
+    # The row goes along as one column, so that no name of it can clash.
+    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(source_col).alias("row_source"), h.alias("row_h"), empty.alias("row_empty"))
+    out = row.join(plan, F.col("row_source").eqNullSafe(F.col("plan_source")))
+    times = F.when(F.col("row_empty"), 1).otherwise(F.col("plan_copies") + (F.col("row_h") <= F.col("plan_cut")).cast("int"))
+    return out.select("row", times.alias("times")).where("times > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
