@@ -116,17 +116,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(good[some])], ["bucket", "raw", "good"])
 
 
+#: Counts added to both sides of a bucket's ratio, for words and for shapes: a document's own n-grams must not outweigh the corpus.
+SMOOTH = (400.0, 20.0)
+
+
 def log_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """log(target / raw) by bucket, each kind of n-gram a distribution of its own; counts are smoothed towards the raw one."""
+    """log(target / raw) by bucket, each kind of n-gram a distribution of its own; small counts are drawn to 0."""
     out = np.zeros(BUCKETS)
     if not good.sum():
         return out
-    for part in (slice(0, 1 << WORD_BITS), slice(1 << WORD_BITS, BUCKETS)):
-        p = (raw[part] + 1e-9) / max(1, raw[part].sum())
-        prior = 2.0
-        q = (good[part] + prior * p * (1 << 10)) / (good[part].sum() + prior * (1 << 10))
-        out[part] = np.log(np.maximum(q, 1e-15)) - np.log(np.maximum(p, 1e-15))
-    out[raw == 0] = 0
+    for part, add in zip((slice(0, 1 << WORD_BITS), slice(1 << WORD_BITS, BUCKETS)), SMOOTH, strict=True):
+        expected = raw[part] * (good[part].sum() / max(1, raw[part].sum()))
+        out[part] = np.log(good[part] + add) - np.log(expected + add)
     return np.clip(out, -6, 6)
 
 
