@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.operators.graph import connected_components
 from palimpsest.plans.scratch import Scratch
+from palimpsest.plans.ship import ship
 
 #: Similarity and shingle length of the primary and of the sensitivity tier; containment and the least set it counts for.
 PRIMARY, PRIMARY_K, SENSITIVE, SENSITIVE_K, CONTAINED, LEAST_SET = 0.8, 5, 0.5, 3, 0.9, 50
+#: Rows and shingles of a block in which members of LSH buckets are verified.
+BLOCK_ROWS, BLOCK_WEIGHT = 256, 200_000
 
 
 def shingle_rows(df: DataFrame, doc: str, words: Column, k: int) -> DataFrame:
@@ -123,18 +129,127 @@ def minhash(df: DataFrame, doc: str, norm: str, k: int = PRIMARY_K, perms: int =
     return x.select(F.col("doc").alias(doc), F.when(F.size("s") > 0, sig).alias("signature"))
 
 
-def lsh_pairs(df: DataFrame, doc: str, norm: str, k: int = PRIMARY_K, threshold: float = PRIMARY, bands: int = 32, rows: int = 4) -> DataFrame:
-    """(i, j, jaccard): pairs that share a band of MinHash values and reach the threshold by their full sets.
+def _blocks(members: DataFrame) -> DataFrame:
+    """(gid, key, sub, one, other, node) of members (key, node, n): bounded groups of which one holds any two members of a bucket.
 
-    The members of a bucket are paired with its smallest document and with their neighbour in order, not all with all.
+    Small buckets are packed together; a large one is cut into blocks, and any two blocks, and each by itself, make a group.
     """
-    sets = df.select(F.col(doc).alias("doc"), F.transform(T.shingles(T.words(norm), k), lambda s: F.xxhash64(s)).alias("s"))
-    sig = minhash(df, doc, norm, k, bands * rows).where("signature is not null")
-    key = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * rows + 1, rows)))
-    member = sig.select(F.col(doc).alias("doc"), F.explode(key).alias("key"))
-    lead = member.groupBy("key").agg(F.min("doc").alias("i"), F.count("*").alias("c")).where("c > 1").drop("c")
-    near = member.withColumn("i", F.lag("doc").over(Window.partitionBy("key").orderBy("doc"))).where("i is not null").select("i", F.col("doc").alias("j"))
-    pair = member.join(lead, "key").where("doc <> i").select("i", F.col("doc").alias("j")).unionByName(near).distinct()
-    full = pair.join(sets.select(F.col("doc").alias("i"), F.col("s").alias("x")), "i").join(sets.select(F.col("doc").alias("j"), F.col("s").alias("y")), "j")
-    both = F.size(F.array_intersect("x", "y"))
-    return full.withColumn("jaccard", both / (F.size("x") + F.size("y") - both)).where(F.col("jaccard") >= threshold).select("i", "j", "jaccard")
+    by = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.ceil(F.sum("n") / F.lit(BLOCK_WEIGHT))).cast("long").alias("nb"), F.sum("n").alias("w"))
+    packs = max(1, -(-(by.where("nb = 1").agg(F.sum("w")).first()[0] or 0) // BLOCK_WEIGHT))
+    m = members.join(by.select("key", "nb"), "key").withColumn("sub", F.pmod(F.xxhash64("node"), F.col("nb")))
+    zero = F.lit(0).cast("long")
+    little = m.where("nb = 1").select(F.pmod(F.xxhash64("key"), F.lit(packs)).alias("gid"), "key", "sub", zero.alias("one"), zero.alias("other"), "node")
+    side = F.explode(F.sequence(zero, F.col("nb") - 1)).alias("with")
+    large = m.where("nb > 1").select("key", "sub", "node", side).withColumn("one", F.least("sub", "with")).withColumn("other", F.greatest("sub", "with"))
+    return little.unionByName(large.select(F.xxhash64("key", "one", "other").alias("gid"), "key", "sub", "one", "other", "node"))
+
+
+def _intersections(value: np.ndarray, doc: np.ndarray, docs: int, wide: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of sets given as (element, document), by products of 0/1 blocks of columns."""
+    _, col, count = np.unique(value, return_inverse=True, return_counts=True)
+    shared = count[col] > 1
+    col, doc = (np.cumsum(count > 1) - 1)[col[shared]], doc[shared]
+    order = np.argsort(col, kind="stable")
+    col, doc = col[order], doc[order]
+    out = np.zeros((docs, docs))
+    for lo in range(0, int(col.max(initial=-1)) + 1, wide):
+        i, j = np.searchsorted(col, [lo, lo + wide])
+        x = np.zeros((docs, wide), np.float32)
+        x[doc[i:j], col[i:j] - lo] = 1
+        out += x @ x.T
+    return out.astype(np.int64)
+
+
+def _band_keys(bands: int, rows: int):
+    """Adds keys: a hash of each band of the MinHash values, which are least values of multiply-add hashes."""
+    rng = np.random.default_rng(20)
+    mul, add = (rng.integers(0, 1 << 63, bands * rows, np.uint64) for _ in "ab")
+    mul, mix = mul | np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.zeros((batch.num_rows, bands), np.uint64)
+            for i, x in enumerate(batch.column(1)):
+                h = x.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                least = np.array([((h * m + a) >> np.uint64(32)).min() for m, a in zip(mul, add, strict=True)]).reshape(bands, rows)
+                key = np.arange(1, bands + 1, dtype=np.uint64)
+                for r in range(rows):
+                    key = (key ^ least[:, r]) * mix
+                    key ^= key >> np.uint64(29)
+                keys[i] = key
+            flat = pa.array(keys.reshape(-1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), flat)], ["node", "s", "keys"])
+
+    return run
+
+
+def _verify(threshold: float, least_set: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        key, one, other, sub, node, band = (table.column(c).to_numpy() for c in ("key", "one", "other", "sub", "node", "band"))
+        keys = np.array(table.column("keys").to_pylist(), np.int64)
+        sets = [np.array(x.values.to_numpy(zero_copy_only=False)) for x in table.column("s")]
+        size = np.array([len(x) for x in sets])
+        order = np.lexsort((node, key, other, one))
+        cut = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(one[order]) != 0) | (np.diff(other[order]) != 0)) + 1
+        got = []
+        for part in np.split(order, cut):
+            i, j = np.triu_indices(len(part), 1)
+            x, y = part[i], part[j]
+            ok = (one[x] == other[x]) | (sub[x] != sub[y])  # two of one block meet in the group of that block alone
+            ok &= np.minimum(size[x], size[y]) >= np.minimum(threshold * np.maximum(size[x], size[y]), least_set)
+            for b in range(int(band[part[0]])):  # a pair is judged in the first band that it shares
+                ok &= keys[x, b] != keys[y, b]
+            x, y, i, j = x[ok], y[ok], i[ok], j[ok]
+            if not len(x):
+                continue
+            if len(part) <= 4:
+                both = np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(x, y, strict=True)])
+            else:
+                both = _intersections(np.concatenate([sets[p] for p in part]), np.repeat(np.arange(len(part)), size[part]), len(part))[i, j]
+            low = np.minimum(size[x], size[y])
+            jaccard = both / (size[x] + size[y] - both)
+            containment = np.where(low >= least_set, both / low, 0.0)
+            ok = (jaccard >= threshold) | (containment >= CONTAINED)
+            got.append((node[x[ok]], node[y[ok]], jaccard[ok], containment[ok]))
+        cols = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [[], [], [], []]
+        return pa.table([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["a", "b", "jaccard", "containment"])
+
+    return run
+
+
+def lsh_pairs(df: DataFrame, doc: str, norm: str, k: int = PRIMARY_K, threshold: float = PRIMARY, bands: int = 32, rows: int = 4, least_set: int = LEAST_SET, views: tuple[str, ...] = ("full", "head"), scratch: Scratch | None = None) -> DataFrame:
+    """(i, j, jaccard, containment), i < j: as near_pairs, of the pairs that share a band of MinHash values in a view.
+
+    Documents with equal sets are one class, represented by the smallest. All pairs of different classes in a bucket, whatever
+    its size, are verified by their full sets in bounded blocks, each in the first band it shares; then pairs of classes become pairs
+    of documents, among them all pairs within a class. Ids are whole numbers; rows with a null id take part in nothing.
+    """
+    s = scratch or Scratch(df.sparkSession)
+    ship(df.sparkSession)
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = []
+    for view in views:
+        w = T.words(norm) if view == "full" else F.slice(T.words(norm), 1, T.HEAD_WORDS)
+        x = df.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), T.shingles(w, k).alias("g")).where("size(g) > 0")
+        x = x.select("doc", F.array_sort(F.array_distinct(F.transform("g", lambda g: F.xxhash64(g)))).alias("s"))
+        sets = s.keep(x, "sets").select("doc", "s", F.xxhash64("s").alias("d1"), F.xxhash64(F.lit(7), "s").alias("d2"))
+        member = s.keep(sets.groupBy("d1", "d2").agg(F.min("doc").alias("class")).join(sets.select("doc", "d1", "d2", F.size("s").alias("n")), ["d1", "d2"]).select("class", "doc", "n"), "classes")
+        lead = sets.join(member.where("class = doc").select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+        node = s.keep(lead.select(F.col("doc").alias("node"), "s").mapInArrow(_band_keys(bands, rows), "node long, s array<long>, keys array<long>"), "signatures")
+
+        member_of = node.select("node", F.size("s").alias("n"), F.posexplode("keys").alias("band", "key"))
+        total = F.sum(F.xxhash64("node").cast("decimal(20,0)"))
+        bucket = member_of.groupBy("band", "key").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), total.alias("t")).where("c > 1")
+        # Of buckets with the same members the first is enough: two members that first meet in one meet in no earlier one.
+        bucket = bucket.groupBy("c", "lo", "hi", "t").agg(F.min(F.struct("band", "key")).alias("first")).select("first.*")
+        held = s.keep(member_of.join(bucket, ["band", "key"]), "buckets")
+        grouped = _blocks(held.select("key", "node", F.col("n").cast("long").alias("n"))).join(held.select("key", "band").distinct(), "key").join(node, "node")
+        pair = grouped.repartition(spread, "gid").groupBy("gid").applyInArrow(_verify(threshold, least_set), "a long, b long, jaccard double, containment double")
+        pair = s.keep(pair, "pairs")
+
+        a, b = (member.select(F.col("class").alias(c), F.col("doc").alias(to), F.col("n").alias(f"n{c}")) for c, to in (("a", "x"), ("b", "y")))
+        apart = pair.join(a.drop("na"), "a").join(b.drop("nb"), "b").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "jaccard", "containment")
+        copies = a.join(b, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("i"), F.col("y").alias("j"), F.lit(1.0).alias("jaccard"), F.when(F.col("na") >= least_set, 1.0).otherwise(0.0).alias("containment"))
+        found += [apart.where("i < j"), copies]
+    return reduce(DataFrame.unionByName, found).groupBy("i", "j").agg(F.max("jaccard").alias("jaccard"), F.max("containment").alias("containment"))

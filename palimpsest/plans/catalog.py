@@ -327,7 +327,7 @@ def component_exclusions(spark, d):
 
 @query()
 def near_dup_lsh(spark, d):
-    return overlap.lsh_pairs(normed(spark, d), "doc_id", "ns").select("i", "j", *r9("jaccard"))
+    return overlap.lsh_pairs(normed(spark, d), "doc_id", "ns").select("i", "j", *r9("jaccard", "containment"))
 
 
 @query()

@@ -43,6 +43,20 @@ def test_near_pairs_by_containment_only(spark):
     assert (1, 3) in {(r.i, r.j) for r in overlap.near_pairs(df, "id", "t", views=("full",), least_set=0).collect()}
 
 
+def test_lsh_pairs_are_all_near_pairs(spark):
+    w = [f"w{i}" for i in range(300)]
+    edit = lambda v, *at: " ".join("x" + x if i in at else x for i, x in enumerate(v))
+    rows = [(i, edit(w, 20 * i)) for i in range(4)]  # one bucket of four: neither leads nor neighbours only
+    rows += [(10 + i, edit([f"v{x}" for x in range(400)], i)) for i in range(300)]  # a bucket beyond one block
+    rows += [(400 + i, " ".join([f"h{x}" for x in range(100)] + [f"t{i}_{x}" for x in range(150)])) for i in range(3)]  # the head view only
+    rows += [(500, edit([f"c{x}" for x in range(70)])), (501, edit([f"c{x}" for x in range(92)]))]  # containment only
+    rows += [(600 + i, "same few words of a text") for i in range(4)] + [(700, ""), (701, "")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    key = lambda x: {(r.i, r.j, round(r.jaccard, 9), round(r.containment, 9)) for r in x.collect()}
+    got = key(overlap.lsh_pairs(df, "id", "t"))
+    assert got == key(overlap.near_pairs(df, "id", "t")) and len(got) == 6 + 300 * 299 // 2 + 3 + 1 + 6
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 60)] + [(5, 5), (None, 3), (7, 8)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
