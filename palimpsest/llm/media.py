@@ -3,7 +3,8 @@
 A recording (WAV bytes, 8 or 16 bit PCM) becomes frames of twelve pitch classes; integral-image filters over a window of
 frames compare areas of time and pitch class, and each gives two bits, so that every frame position has one packed 32-bit
 integer. Two recordings are aligned by an offset histogram: equal 24-bit parts of their integers vote for
-the offset between them, and the best voted offsets are judged by the share of differing bits over the overlap.
+the offset between them, and every offset with enough votes and overlap is judged by the share of differing bits over the overlap;
+the least share counts, of equal ones that with the longest overlap. Every occurrence of a part votes.
 
 A search takes queries in blocks of bounded size against all fingerprints: one pass over the written fingerprints
 for each block, in which only matches leave a task. No fingerprints but a block's are ever held together.
@@ -32,8 +33,8 @@ from palimpsest.plans.ship import ship
 #: Frames: samples a second after decimation, samples of a frame and between frames, frames of a filter's window.
 RATE, FRAME, HOP, WINDOW = 4000, 512, 256, 16
 LOWEST, HIGHEST = 60.0, 1900.0
-#: Votes of an offset and offsets tried; bits that may differ; frames that must overlap.
-VOTES, TRIED, ERRORS, OVERLAP = 3, 3, 0.2, 48
+#: Votes of an offset; bits that may differ; frames that must overlap.
+VOTES, ERRORS, OVERLAP = 3, 0.2, 48
 #: Fingerprints of a block of queries.
 BLOCK = 1000
 
@@ -153,13 +154,24 @@ def parts(codes: np.ndarray) -> np.ndarray:
     return np.stack([(c & ~(0xFF << (8 * i)) & 0xFFFFFFFF) | (i << 32) for i in range(4)])
 
 
+def _chunks(size: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``most`` in total size, of one item at least."""
+    end = np.cumsum(size)
+    i = 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(end, end[i] - size[i] + most, "right")))
+        yield i, j
+        i = j
+
+
 class Block:
     """Queries' fingerprints with an index of their 24-bit parts."""
 
     def __init__(self, ids: list, codes: list[np.ndarray]):
         self.ids, self.codes = ids, codes
-        size = [len(c) for c in codes]
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+        size = self.size = np.array([len(c) for c in codes], np.int64)
+        self.start = np.cumsum(size) - size
+        flat = self.flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
         owner, place = np.repeat(np.arange(len(codes)), size), np.concatenate([np.arange(n) for n in size]) if codes else np.zeros(0, int)
         key = parts(flat).reshape(-1)
         order = np.argsort(key, kind="stable")
@@ -169,40 +181,38 @@ class Block:
         """(query, offset, frames of overlap, share of differing bits) for every query that matches."""
         if len(codes) < OVERLAP:
             return []
-        mine, at = np.unique(parts(codes).reshape(-1), return_index=True)
-        at = at % len(codes)
+        mine, at = parts(codes).reshape(-1), np.tile(np.arange(len(codes)), 4)
         lo, hi = np.searchsorted(self.key, mine, "left"), np.searchsorted(self.key, mine, "right")
-        n = hi - lo
-        hit = n > 0
+        hit = hi > lo
         if not hit.any():
             return []
-        lo, n, at = lo[hit], n[hit], at[hit]
-        row = np.repeat(np.arange(len(lo)), n)
-        spot = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        wide = 1 << 20
-        vote, count = np.unique(self.owner[spot] * wide + (at[row] - self.place[spot] + wide // 2), return_counts=True)
-        vote, count = vote[count >= VOTES], count[count >= VOTES]
-        order = np.lexsort((-count, vote // wide))
-        out, last, tried, best = [], -1, 0, None
-        for v in vote[order]:
-            q, off = int(v // wide), int(v % wide - wide // 2)
-            if q != last:
-                if best:
-                    out.append(best)
-                last, tried, best = q, 0, None
-            if tried == TRIED:
-                continue
-            tried += 1
-            own = self.codes[q]
-            a, b = max(0, off), min(len(codes), len(own) + off)
-            if b - a < OVERLAP:
-                continue
-            wrong = int(np.bitwise_count(codes[a:b] ^ own[a - off : b - off]).sum()) / (32 * (b - a))
-            if wrong <= ERRORS and (best is None or wrong < best[3]):
-                best = (q, off, b - a, wrong)
-        if best:
-            out.append(best)
-        return out
+        lo, n, at = lo[hit], (hi - lo)[hit], at[hit]
+        wide, vote, count = 1 << 20, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for i, j in _chunks(n):
+            row = np.repeat(np.arange(i, j), n[i:j])
+            spot = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j])
+            v, c = np.unique(self.owner[spot] * wide + (at[row] - self.place[spot] + wide // 2), return_counts=True)
+            if len(vote):
+                v, back = np.unique(np.r_[vote, v], return_inverse=True)
+                c = np.bincount(back, np.r_[count, c]).astype(np.int64)
+            vote, count = v, c
+        vote = vote[count >= VOTES]
+        q, off = vote // wide, vote % wide - wide // 2
+        begin, overlap = np.maximum(0, off), np.minimum(len(codes), self.size[q] + off) - np.maximum(0, off)
+        enough = overlap >= OVERLAP
+        q, off, begin, overlap = q[enough], off[enough], begin[enough], overlap[enough]
+        wrong = np.zeros(len(q))
+        for i, j in _chunks(overlap):
+            size = overlap[i:j]
+            first = np.cumsum(size) - size
+            step = np.arange(size.sum()) - np.repeat(first, size)
+            x = codes[np.repeat(begin[i:j], size) + step]
+            y = self.flat[np.repeat(self.start[q[i:j]] + begin[i:j] - off[i:j], size) + step]
+            wrong[i:j] = np.add.reduceat(np.bitwise_count(x ^ y).astype(np.int64), first) / (32 * size)
+        order = np.lexsort((np.abs(off), -overlap, wrong, q))
+        order = order[wrong[order] <= ERRORS]
+        best = order[np.r_[True, q[order][1:] != q[order][:-1]]] if len(order) else order
+        return [(int(q[i]), int(off[i]), int(overlap[i]), float(wrong[i])) for i in best]
 
 
 def _print(rendered: bool):

@@ -175,6 +175,17 @@ def test_recordings_align(spark):
     assert got[3, 100].offset == 16 and (0, 101) in got
 
 
+def test_self_similar_recordings_align():
+    rng = np.random.default_rng(8)
+    tone, loop, passage = np.full(200, 7, np.uint32), np.tile(rng.integers(0, 1 << 32, 4, np.uint32), 50), rng.integers(0, 1 << 32, 60, np.uint32)
+    other = rng.integers(0, 1 << 32, (3, 100), np.uint32)
+    for x in (tone, loop):
+        assert media.Block([0], [x]).align(x) == [(0, 0, 200, 0.0)]
+    # The first parts of the passage are also at the start: only their later occurrence lies on the query's offset.
+    heard = np.r_[passage[::-1], other[0], passage, other[1]]
+    assert media.Block([0, 1], [other[2], passage]).align(heard) == [(1, 160, 60, 0.0)]
+
+
 def test_shards(docs):
     r = sharding.shard_documents(docs, 16).toPandas()
     count = r.groupby("shard").size()
