@@ -356,7 +356,7 @@ def top_tokens(spark, d):
 
 def _features(spark, d) -> DataFrame:
     x = docs(spark, d).join(read(spark, d, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
-    v = tfidf.vectors(tfidf.weights(x, "doc_id", "text", 1), "doc_id", 512)
+    v = tfidf.term_vectors(tfidf.weights(x, "doc_id", "text", features=tfidf.FEATURES), "doc_id")
     role = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0, "test").otherwise("train")
     return x.select("doc_id", "dataset", (1 - F.col("y")).cast("double").alias("is_fake"), role.alias("role")).join(v, "doc_id")
 

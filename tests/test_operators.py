@@ -125,6 +125,19 @@ def test_metrics_with_ties(spark):
     assert metrics.kappa(same, (), "a", "b").first().kappa is None
 
 
+def test_models_have_a_column_for_each_term(spark, sf):
+    from palimpsest.operators import tfidf
+    from palimpsest.plans import catalog_stats
+
+    rows = [(1, "aa bb cc"), (2, "aa bb dd"), (3, "bb cc"), (4, "dd")]
+    w = tfidf.weights(spark.createDataFrame(rows, "id int, t string"), "id", "t")
+    want = {i: sorted(round(r.weight, 9) for r in w.collect() if r.id == i) for i in range(1, 5)}
+    got = {r.id: r.features for r in tfidf.term_vectors(w, "id").collect()}
+    assert {i: sorted(round(float(x), 9) for x in v.values) for i, v in got.items()} == want
+    assert all(v.size == w.select("term").distinct().count() for v in got.values())
+    assert catalog_stats._features(spark, sf).first().features.size > 1 << 12  # words and pairs of words, not hashed into 512
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.csv").write_text('title,text,label\n"x","line one\nline two ""q""",FAKE\ny,,REAL\n')
     df = readers.read_csv(spark, str(tmp_path / "a.csv"))
