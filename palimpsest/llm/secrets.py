@@ -27,6 +27,8 @@ KINDS: tuple[tuple[str, str, int, int, tuple[str, ...]], ...] = (
     ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 27, ("PRIVATE KEY-----",)),
 )
 BASE_KINDS = ("assign", "access", "hex")
+#: Whether a row of candidates() has a match.
+SOME = " or ".join(f"size({k[0]}) > 1" for k in KINDS)
 
 
 def _tried(kind: str, pattern: str, needles: tuple[str, ...], text: Column, low: Column) -> Column:
@@ -58,21 +60,24 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> D
 
 
 def occurrences(cand: DataFrame) -> DataFrame:
-    """(doc_id, owner, mark, kind, start, end, value): every match that is long enough, once for each (doc_id, text)."""
+    """(doc_id, mark, kind, start, end, value): every match that is long enough, once for each (doc_id, text)."""
     each = [F.struct(F.lit(i).alias("kind"), F.col(k[0]).alias("parts")) for i, k in enumerate(KINDS)]
-    some = cand.where(" or ".join(f"size({k[0]}) > 1" for k in KINDS)).dropDuplicates(["doc_id", "mark"])
-    rows = some.select("doc_id", "owner", "mark", F.explode(F.array(*each)).alias("k")).select("doc_id", "owner", "mark", "k.kind", F.posexplode("k.parts").alias("pos", "p"))
-    rows = rows.select("doc_id", "owner", "mark", "kind", "pos", "p.gap", F.col("p.size").alias("size"), F.col("p.value").alias("value"))
+    some = cand.where(SOME).dropDuplicates(["doc_id", "mark"])
+    rows = some.select("doc_id", "mark", F.explode(F.array(*each)).alias("k")).select("doc_id", "mark", "k.kind", F.posexplode("k.parts").alias("pos", "p"))
+    rows = rows.select("doc_id", "mark", "kind", "pos", "p.gap", F.col("p.size").alias("size"), F.col("p.value").alias("value"))
     upto = F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(Window.partitionBy("doc_id", "mark", "kind").orderBy("pos"))
     rows = rows.withColumn("end", upto.cast("long")).where("size is not null")
     least = F.element_at(F.array(*(F.lit(k[3]) for k in KINDS)), F.col("kind") + 1)
     rows = rows.where(F.length("value") >= least)
-    return rows.select("doc_id", "owner", "mark", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "value")
+    return rows.select("doc_id", "mark", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "value")
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """(hash, owners, repositories): how many distinct owners, and distinct repositories of owners, hold a value."""
-    once = found.select("hash", "owner", "doc_id").distinct()
+def ownership(found: DataFrame, cand: DataFrame) -> DataFrame:
+    """(hash, owners, repositories): how many distinct owners, and distinct repositories of owners, hold a value. All owners of
+    an id and text count, however often the two occur."""
+    held = cand.where(SOME).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "owner").distinct()
+    once = found.select("hash", "doc_id", "mark").distinct().join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
+    once = once.select("hash", "owner", "doc_id").distinct()
     return once.groupBy("hash", "owner").agg(F.count("*").alias("r")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("r").alias("repositories"))
 
 
@@ -89,7 +94,7 @@ def secret_spans(docs: DataFrame, many_owners: int = 3, id_col: str = "doc_id",
     s = scratch or Scratch(docs.sparkSession)
     cand = s.keep(candidates(docs, id_col, text_col, owner_col), "candidates")
     found = s.keep(occurrences(cand).withColumn("hash", F.sha2("value", 256)).withColumn("random", looks_random(F.col("value"))).drop("value"), "occurrences")
-    held = ownership(found)
+    held = ownership(found, cand)
     verdict = F.when(F.col("owners") >= many_owners, "copied").when((F.col("owners") == 1) & F.col("random"), "live").otherwise("unclear")
     return cand.select("doc_id", "mark"), found.join(held, "hash").withColumn("verdict", verdict)
 
