@@ -27,11 +27,18 @@ from palimpsest.plans.ship import ship
 #: Buckets of hashed n-grams.
 BITS = 12
 BUCKETS = 1 << BITS
-#: The bounded sample that the classifiers are fitted on: rows of each language, and characters in all.
-ROWS_PER_LANG, SAMPLE_CHARS = 1500, 12_000_000
+#: The bounded sample that the classifiers are fitted on: rows of each language, rows and characters in all.
+ROWS_PER_LANG, SAMPLE_ROWS, SAMPLE_CHARS = 1500, 200_000, 12_000_000
+#: Texts and bytes whose n-grams are counted at once.
+PIECE_ROWS, PIECE_BYTES = 500, 1 << 20
 #: Below this lead in weighted loss an answer is ambiguous.
 AMBIGUOUS = 0.15
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]+")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character of the text is a letter; number characters such as a raised two are none."""
+    return any(c.isalpha() for m in _WORDLIKE.finditer(text or "") for c in m.group())
 
 
 def codebook(langs: int, seed: int = 11) -> np.ndarray:
@@ -57,20 +64,21 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Shares of hashed n-grams by document (documents x BUCKETS, float32)."""
     docs, n = len(off) - 1, len(data)
     out = np.zeros(docs * BUCKETS)
-    if n:
-        _, low = T._CLASSES["space"]
-        x = low[data].astype(np.uint32)
-        x[(data <= 13) & (data >= 9)] = 32
-        doc = np.repeat(np.arange(docs), np.diff(off))
+    _, low = T._CLASSES["space"]
+    for lo in range(0, n, PIECE_BYTES):  # n-grams that begin here; a long text adds up over several rounds
+        part = data[lo : lo + PIECE_BYTES + 2]
+        x = low[part].astype(np.uint32)
+        x[(part <= 13) & (part >= 9)] = 32
+        doc = np.searchsorted(off, np.arange(lo, lo + len(part)), "right") - 1
         for width in (2, 3):
-            m = n - width + 1
+            m = min(PIECE_BYTES, len(part) - width + 1)
             if m <= 0:
                 continue
             g = np.full(m, width, np.uint32)
             for i in range(width):
                 g = (g ^ x[i : m + i]) * np.uint32(0x9E3779B1)
                 g ^= g >> np.uint32(15)
-            same = doc[:m] == doc[width - 1 :]
+            same = doc[:m] == doc[width - 1 : m + width - 1]
             out += np.bincount(doc[:m][same] * BUCKETS + (g >> np.uint32(32 - BITS))[same].astype(np.int64), minlength=docs * BUCKETS)
     out = out.reshape(docs, BUCKETS)
     return (out / np.maximum(1, out.sum(axis=1, keepdims=True))).astype(np.float32)
@@ -114,22 +122,26 @@ def sample(docs: DataFrame, remainder: int = 1, parts: int = 3) -> tuple[list, l
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     may = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc % parts != remainder) & (F.length("text") > 0))
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
-    ids = may.select("doc_id", "lang", order.alias("o"), F.length("text").alias("c"))
+    may = may.select("doc_id", "lang", "text", order.alias("o"), F.xxhash64("text").alias("mark"))
+    ids = may.select("doc_id", "lang", "o", "mark", F.length("text").alias("c"))
     # Hash thresholds bound the rows of a language before any are ranked; none is ranked beyond the sample.
     count = ids.groupBy("lang").agg(F.count("*").alias("rows"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * ROWS_PER_LANG) / F.col("rows"))
-    few = ids.join(F.broadcast(count.orderBy(F.desc("rows"), "lang").limit(2000)), "lang").where((F.col("o").cast("double") / 2.0**64 + 0.5) <= share)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))
-    chosen = sorted(few.withColumn("r", rank).where(F.col("r") <= ROWS_PER_LANG).select("r", "lang", "doc_id", "o", "c").collect())
+    most = F.greatest(F.lit(1), F.least(F.lit(ROWS_PER_LANG), F.floor(F.lit(SAMPLE_ROWS) / F.count("*").over(Window.partitionBy(F.lit(0))))))
+    count = count.withColumn("most", most)  # one row for each language
+    share = F.least(F.lit(1.0), F.lit(2.0) * F.col("most") / F.col("rows"))
+    few = ids.join(count, "lang").where((F.col("o").cast("double") / 2.0**64 + 0.5) <= share).dropDuplicates(["lang", "doc_id", "mark"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id", "mark"))
+    chosen = sorted(few.withColumn("r", rank).where(F.col("r") <= F.col("most")).select("r", "lang", "doc_id", "o", "c", "mark").collect())
     room, pick = SAMPLE_CHARS, []
     for r in chosen:
         if r["c"] <= room:
             room -= r["c"]
-            pick.append((r["doc_id"],))
+            pick.append((r["doc_id"], r["lang"], r["mark"]))
     if not pick:
         return [], []
     kind = dict(docs.dtypes)["doc_id"]
-    got = may.join(F.broadcast(docs.sparkSession.createDataFrame(pick, f"doc_id {kind}")), "doc_id").select("text", "lang").collect()
+    got = may.join(F.broadcast(docs.sparkSession.createDataFrame(pick, f"doc_id {kind}, lang string, mark long")), ["doc_id", "lang", "mark"])
+    got = got.groupBy("doc_id", "lang", "mark").agg(F.first("text").alias("text")).select("text", "lang").collect()  # one row for each picked
     got.sort()
     return [r["text"] for r in got], [r["lang"] for r in got]
 
@@ -140,7 +152,7 @@ def fit(docs: DataFrame) -> Model:
     code = codebook(len(langs))
     if len(langs) < 2:
         return Model(langs, code, np.zeros((BUCKETS, code.shape[1] if langs else 1), np.float32), np.zeros(1, np.float32), np.ones(1, np.float32))
-    x = np.concatenate([features(data, off) for _, data, off in T.pieces(pa.array(texts, pa.large_string()))])
+    x = np.concatenate([features(data, off) for _, data, off in T.pieces(pa.array(texts, pa.large_string()), rows=PIECE_ROWS)])
     y = np.searchsorted(langs, names)
     return Model(langs, code, *train(x, y, code))
 
@@ -151,9 +163,9 @@ def _predict(model):
         for batch in batches:
             lang, score, lead = [], [], []
             texts = batch.column(1)
-            for i, data, off in T.pieces(texts):
+            for i, data, off in T.pieces(texts, rows=PIECE_ROWS):
                 docs = len(off) - 1
-                letter = [bool(t and _LETTER.search(t)) for t in texts.slice(i, docs).to_pylist()]
+                letter = [has_letter(t) for t in texts.slice(i, docs).to_pylist()]
                 if not m.langs:
                     letter = [False] * docs
                 if len(m.langs) > 1:
