@@ -54,8 +54,8 @@ def classes(kind: str) -> tuple[np.ndarray, np.ndarray]:
 _CLASSES = {k: classes(k) for k in ("space", "alnum")}
 
 
-def pieces(col: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Slices of a text column as (first row, bytes, offsets within the bytes); null counts as empty."""
+def pieces(col: pa.Array, limit: int = CHUNK, rows: int = (1 << DOC_BITS) - 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Slices of a text column as (first row, bytes, offsets within the bytes), of so many bytes and rows; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if not pa.types.is_large_string(col.type):
@@ -69,12 +69,12 @@ def pieces(col: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray,
     if col.null_count:
         lens = np.diff(off) * np.asarray(col.is_valid())
         if (np.diff(off) != lens).any():
-            yield from pieces(col.fill_null(""), limit)
+            yield from pieces(col.fill_null(""), limit, rows)
             return
     i = 0
     while i < n:
         j = int(np.searchsorted(off, off[i] + limit, "right")) - 1
-        j = min(max(j, i + 1), n, i + (1 << DOC_BITS) - 1)
+        j = min(max(j, i + 1), n, i + rows)
         yield i, raw[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 
@@ -112,12 +112,14 @@ def words(data: np.ndarray, off: np.ndarray, kind: str = "space") -> tuple[np.nd
     return mix(h), doc, start, end
 
 
-def shingles(h: np.ndarray, doc: np.ndarray, k: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, document) of every run of k words; with fewer words, the whole sequence as one if ``whole``."""
+def shingles(h: np.ndarray, doc: np.ndarray, k: int, whole: bool = True, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document) of every run of k words; with fewer words, the whole sequence as one if ``whole``.
+
+    Another seed gives another, independent hash of the same shingles, in the same order."""
     n = len(h)
     if not n:
         return h, doc
-    coef = mix(np.arange(1, k + 1, dtype=np.uint64) * U(2)) | U(1)
+    coef = mix(np.arange(1, k + 1, dtype=np.uint64) * U(2) + U(seed << 20)) | U(1)
     out, at = np.zeros(0, np.uint64), doc[:0]
     if n >= k:
         full = doc[: n - k + 1] == doc[k - 1 :]
@@ -153,6 +155,13 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int, kind: str = "space")
     return sets(out, at, len(off) - 1)
 
 
+def least(out: np.ndarray, at: np.ndarray, docs: int) -> np.ndarray:
+    """The least hash, in all its 64 bits, of each document."""
+    low = np.full(docs, ~U(0))
+    np.minimum.at(low, at, out)
+    return low
+
+
 def ragged(lists: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """A list column from arrays."""
     off = np.zeros(len(lists) + 1, np.int32)
