@@ -1,18 +1,18 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a 60-bit hash of its id. Words are summed by source and by the hash's leading bits; the
+Every document has a 60-bit hash of its id and text. Words are summed by source and by the hash's leading bits; the
 running sum finds the bucket in which a source's budget ends; only that boundary bucket is split by the next bits, again and again,
 until it holds one hash. The threshold so found takes documents by a plain comparison, without sorting any of them. Budgets
 of one source use one hash, so the documents of a smaller budget are among those of a larger one (nested).
 
 Defined results: a null or blank text has size 0 and takes 0 words; a null source is a source of its own, last in
-order; rows with one id share a hash and are taken together; a source whose documents are all empty gets target 0;
+order; rows with one id and text share a hash and are taken together; a source whose documents are all empty gets target 0;
 an empty table gives an empty result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.plans.scratch import Scratch
@@ -22,13 +22,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS, STEP_BITS = 60, 12
 
 
+def spot(id_col: str, text_col: str) -> Column:
+    """The hash of a row's id and text: rows without an id, or of one id, are told apart by their texts."""
+    own = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), own)), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, h): words and hash of every row."""
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.expr(f"regexp_count(coalesce(`{text_col}`, ''), r'{WORD}')").cast("long").alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
+        spot(id_col, text_col).alias("h"),
     )
 
 
@@ -122,7 +128,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, i
     plan = goal.withColumn("name", F.lit(1.0)).withColumn("copies", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(1).cast("int"))
     cut = thresholds(base, plan.select("source", "name", (F.col("target") - F.col("copies") * F.col("source_size")).alias("budget")), s)
     plan = s.keep(plan.select(F.col("source").alias("plan_source"), F.col("copies").alias("plan_copies")).join(cut.select(F.col("source").alias("cut_source"), F.col("cut").alias("plan_cut")), F.col("plan_source").eqNullSafe(F.col("cut_source"))).drop("cut_source"), "plan")
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), 1, HASH_BITS // 4), 16, 10).cast("long")
+    h = spot(id_col, text_col)
     empty = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     # The row goes along as one column, so that no name of it can clash.
     row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(source_col).alias("row_source"), h.alias("row_h"), empty.alias("row_empty"))

@@ -91,19 +91,29 @@ def shingle_sql(key: str, source: str, pattern: str, k: int) -> str:
     FROM (SELECT {key}, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{pattern}') AS ws FROM {source})"""
 
 
+ALNUM = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+
+
+def runs_sql(ws: str, k: str) -> str:
+    """All runs of k words of a list of at least k."""
+    return f"list_transform(range(1, (len({ws}) - {k} + 2)::BIGINT), lambda i: array_to_string({ws}[i:i + {k} - 1], ' '))"
+
+
 SQL: dict[str, str] = {
     "op1_decontamination": rf"""
-WITH d AS ({shingle_sql("doc_id", "documents", r"[0-9A-Za-z\x{80}-\x{10FFFF}]+", 5)}),
-i AS ({shingle_sql("item_id", "benchmark", r"[0-9A-Za-z\x{80}-\x{10FFFF}]+", 5)}),
+WITH w AS (SELECT item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{ALNUM}') AS ws FROM benchmark),
+i AS (SELECT DISTINCT item_id, k, unnest({runs_sql("ws", "k")}) AS sh FROM (SELECT *, least(len(ws), 5) AS k FROM w) WHERE k > 0),
+v AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{ALNUM}') AS ws FROM documents),
+d AS (SELECT DISTINCT doc_id, k, unnest({runs_sql("ws", "k")}) AS sh FROM v, (SELECT DISTINCT k FROM i) WHERE len(ws) >= k),
 n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id),
-m AS (SELECT doc_id, item_id, count(*) AS matched FROM d JOIN i USING (sh) GROUP BY doc_id, item_id)
+m AS (SELECT doc_id, item_id, count(*) AS matched FROM d JOIN i USING (k, sh) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, matched, n_shingles, matched / n_shingles AS containment FROM m JOIN n USING (item_id)
 WHERE matched >= ceil(0.8 * n_shingles - 1e-9)
 """,
     "op2_mixing": r"""
 WITH b AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS c,
     [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM b GROUP BY source),
