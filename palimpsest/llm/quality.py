@@ -7,12 +7,15 @@ document's log weight is the sum of log(target / raw) over its n-grams. Weight p
 is the key; the k largest keys are a sample without replacement in proportion to the weights. The k-th key is
 found by nested histograms (mixing.thresholds), not by sorting.
 
-k is given, or comes from the labels: the key at which good and bad labelled documents part best is found, and k is the number of
-documents beyond it.
+k is given; by default it is the target's size: the share of good ones among the labelled, of all documents, at the upper end of its 95 %
+interval, as a lost good document is worse than a kept bad one. No label has a say in which documents the k are, but through the counts.
+
+Target counts come from at most MOST_GOOD good rows, taken by a hash of the id; raw counts always cover all documents.
 
 Defined results: a null or blank text has log weight 0 and no n-gram, and its key is noise alone; a null id draws its noise from the text;
 documents labelled more than once count as good only if every label says so; without a good label all weights are 0
-and all documents are kept; empty tables give empty results.
+and, if k isn't given, all documents are kept; rows of equal key (equal id and weight) are kept or left together, whichever comes
+nearer to k; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,10 +35,8 @@ from palimpsest.plans.ship import ship
 #: Buckets of word n-grams and of shape n-grams.
 WORD_BITS, SHAPE_BITS = 16, 14
 BUCKETS = (1 << WORD_BITS) + (1 << SHAPE_BITS)
-#: Labelled rows up to which labels are broadcast; beyond, they are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
-#: A lost good document counts as so many kept bad ones when the cut is chosen.
-GOOD_COST = 4.0
+#: Good labelled rows that the target is counted from, in the mean: what is broadcast is bounded by it.
+MOST_GOOD = 200_000
 
 _SPACE, _WORD, _SIGN = 0, 1, 2
 _CLASS = np.full(256, _SIGN, np.uint8)
@@ -150,15 +151,22 @@ def agreed(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.min(label_col).cast("int").alias("label"))
 
 
-def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) with the label or null; labels are broadcast only if they are known to be few."""
-    few = labels.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(labels) if few else labels, F.col("doc_id") == F.col("label_id"), "left").drop("label_id")
+def target_rows(labels: DataFrame, good: int) -> DataFrame:
+    """The good ones of labels, of which there are ``good``, or about MOST_GOOD of them by a hash of the id."""
+    rows = labels.where("label = 1").select("label_id", "label")
+    return rows if good <= MOST_GOOD else rows.where(F.pmod(F.xxhash64(F.col("label_id").cast("string"), F.lit("target")), F.lit(1 << 30)) < int(MOST_GOOD / good * (1 << 30)))
+
+
+def target_share(good: int, labelled: int) -> float:
+    """The upper end of the 95 % interval of the share of good documents."""
+    p = good / labelled
+    return min(1.0, p + 2 * (p * (1 - p) / labelled) ** 0.5)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """The log ratios, from counts over all documents and over all good ones."""
-    counts = with_labels(docs.select("doc_id", "text"), labels).select("text", "label").mapInArrow(_count, "bucket int, raw long, good long")
+def fit(docs: DataFrame, target: DataFrame) -> np.ndarray:
+    """The log ratios, from counts over all documents and over those in target, which is bounded (see target_rows) and so broadcast."""
+    marked = docs.select("doc_id", "text").join(F.broadcast(target), F.col("doc_id") == F.col("label_id"), "left")
+    counts = marked.select("text", "label").mapInArrow(_count, "bucket int, raw long, good long")
     raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():  # BUCKETS rows at most
         raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]
@@ -177,24 +185,6 @@ def _keyed(ratio, seed: int):
     return run
 
 
-def best_cut(keyed: DataFrame, labels: DataFrame, steps: int = 400) -> float | None:
-    """The key that parts good from bad labelled documents at the least cost, in the middle of the best stretch."""
-    spot = F.floor(F.signum("key") * F.log1p(F.abs("key")) * (steps / 20))
-    rows = with_labels(keyed.select("doc_id", spot.alias("spot")), labels).where("label is not null").groupBy("spot").agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad")).collect()
-    if not sum(r["good"] for r in rows) or not sum(r["bad"] for r in rows):
-        return None
-    at = np.array(sorted(r["spot"] for r in rows))
-    by = {r["spot"]: r for r in rows}
-    lost = np.cumsum([by[a]["good"] for a in at])
-    kept = np.sum([by[a]["bad"] for a in at]) - np.cumsum([by[a]["bad"] for a in at])
-    cost = np.r_[np.sum([by[a]["bad"] for a in at]), GOOD_COST * lost + kept]
-    edge = np.r_[at[0], at + 1]  # keep what lies at or beyond the edge
-    first = int(np.argmin(cost))
-    last = edge[first + 1] - 1 if first + 1 < len(edge) else edge[first]
-    x = (edge[first] + last) / 2 / (steps / 20)
-    return float(np.sign(x) * np.expm1(abs(x)))
-
-
 def code(key):
     """A 60-bit integer that falls as the key rises."""
     return F.floor((1e6 - F.greatest(F.lit(-9e5), F.least(F.lit(9e5), F.col(key)))) * float(1 << 38)).cast("long")
@@ -207,12 +197,13 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     s = scratch or Scratch(spark)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lab = s.keep(agreed(labels, label_id, label_col), "labels")
-    ratio = spark.sparkContext.broadcast(fit(src, lab))
+    held = lab.agg(F.count("*").alias("all"), F.count_if(F.col("label") == 1).alias("good")).first()
+    ratio = spark.sparkContext.broadcast(fit(src, target_rows(lab, held["good"])))
     kind = dict(src.dtypes)["doc_id"]
     keyed = s.keep(src.mapInArrow(_keyed(ratio, seed), f"doc_id {kind}, log_weight double, key double").withColumn("code", code("key")), "keys")
     if k is None:
-        cut = best_cut(keyed, lab)
-        k = keyed.count() if cut is None else keyed.where(F.col("key") >= cut).count()
+        k = keyed.count()
+        k = round(k * target_share(held["good"], held["all"])) if held["good"] else k
     base = keyed.select(F.lit("all").alias("source"), F.lit(1).cast("long").alias("size"), F.col("code").alias("h"))
     budget = spark.createDataFrame([("all", 1.0, float(k))], "source string, name double, budget double")
     top = mixing.thresholds(base, budget, s).first()["cut"]
