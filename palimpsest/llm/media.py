@@ -6,14 +6,16 @@ integer. Two recordings are aligned by an offset histogram: equal 24-bit parts o
 the offset between them, and every offset with enough votes and overlap is judged by the share of differing bits over the overlap;
 the least share counts, of equal ones that with the longest overlap. Every occurrence of a part votes.
 
-A search takes queries in blocks of bounded size against all fingerprints: one pass over the written fingerprints
-for each block, in which only matches leave a task. No fingerprints but a block's are ever held together.
+Recordings of equal fingerprints are one class. A search takes the classes that hold a query, in blocks of bounded size, against all classes:
+one pass over the written fingerprints for each block, in which one row leaves a task for each class that a query of the
+block aligns with, never one for each pair. No fingerprints but a block's are ever held together. The lookups of all queries in all recordings
+grow with queries times recordings, as such a search must where all are alike.
 
 The test tables have no audio, so render() makes recordings from a column of numbers: each number is a tone, as many
 semitones from a middle pitch as it is thirds of the column's usual deviation.
 
-Defined results: a null, unreadable or too short recording has an empty fingerprint and matches nothing, silence likewise; repeated rows match
-one another; a null id is never a query; an empty table gives an empty result.
+Defined results: every recording gets one row. A null, unreadable or too short recording has no class and no links, silence likewise; repeated rows
+are recordings of their own, which align with one another; a null id is never a query; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ RATE, FRAME, HOP, WINDOW = 4000, 512, 256, 16
 LOWEST, HIGHEST = 60.0, 1900.0
 #: Votes of an offset; bits that may differ; frames that must overlap.
 VOTES, ERRORS, OVERLAP = 3, 0.2, 48
-#: Fingerprints of a block of queries.
-BLOCK = 1000
+#: Fingerprints of a block of queries, and passes whose results are put together in one step.
+BLOCK, PASSES = 2000, 8
 
 
 def render(values: np.ndarray, note: int = 512, deviation: float = 0.125) -> bytes:
@@ -238,35 +240,72 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str, rendered: bool =
     return src.mapInArrow(_print(rendered), f"id {dict(src.dtypes)['id']}, codes binary")
 
 
-def search(prints: DataFrame, queries: DataFrame, scratch: Scratch) -> DataFrame:
-    """(query_id, id, offset, overlap, errors): all of prints against the queries, a block of queries at a time."""
-    spark = prints.sparkSession
-    kind = dict(prints.dtypes)["id"]
-    schema = f"query_id {kind}, id {kind}, offset int, overlap int, errors double"
-    blocks = max(1, -(-queries.count() // BLOCK))
-    out = None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()  # about BLOCK rows
-        rows = [r for r in rows if len(r["codes"]) >= 4 * OVERLAP]
-        held = spark.sparkContext.broadcast(Block([r["id"] for r in rows], [np.frombuffer(r["codes"], np.uint32) for r in rows]))
-
-        def run(batches, held=held):
-            block = held.value
-            for batch in batches:
-                got = [(block.ids[q], i, off, n, wrong) for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for q, off, n, wrong in block.align(np.frombuffer(c, np.uint32)) if block.ids[q] != i]
+def _seek(held):
+    """Of each class (key, codes): the queries of the block that it aligns with, and the best of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, first, many = held.value
+        for batch in batches:
+            out = []
+            for key, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                got = [(wrong, -n, abs(off), first[q], off, many[q]) for q, off, n, wrong in block.align(np.frombuffer(codes, np.uint32)) if block.ids[q] != key]
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*got, strict=True), fields, strict=True)], schema=fields)
+                    wrong, n, _, query, off, _ = min(got)
+                    out.append((key, sum(x[-1] for x in got), query, off, -n, wrong))
+            cols = zip(*out, strict=True) if out else [[]] * 6
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "links", "query_id", "offset", "overlap", "errors"])
 
-        from pyspark.sql.pandas.types import to_arrow_schema
+    return run
 
-        fields = to_arrow_schema(spark.createDataFrame([], schema).schema)
-        part = prints.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+
+def search(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, links, best) of the classes (key, codes, queries, q1) that align with a query of another class: how many queries, and the best
+    one as errors, overlap, offset, query_id. A block of queries at a time."""
+    spark = classes.sparkSession
+    some = classes.where("queries > 0")
+    blocks = max(1, -(-some.count() // BLOCK))
+    schema = "key string, links long, query_id long, offset int, overlap int, errors double"
+    done, parts = None, []
+    for b in range(blocks):
+        rows = some.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).select("key", "codes", "q1", "queries").orderBy("key").collect()  # about BLOCK rows
+        block = Block([r["key"] for r in rows], [np.frombuffer(r["codes"], np.uint32) for r in rows])
+        held = spark.sparkContext.broadcast((block, [r["q1"] for r in rows], [r["queries"] for r in rows]))
+        best = F.struct("errors", (-F.col("overlap")).alias("less"), F.abs("offset").alias("far"), "query_id", "offset", "overlap")
+        parts.append(classes.select("key", "codes").mapInArrow(_seek(held), schema).select("key", "links", best.alias("best")))
+        if len(parts) == PASSES or b == blocks - 1:
+            for x in [done] if done is not None else []:
+                parts.append(x)
+            every = parts[0]
+            for x in parts[1:]:
+                every = every.unionByName(x)
+            last, parts = done, []
+            done = scratch.keep(every.groupBy("key").agg(F.sum("links").alias("links"), F.min("best").alias("best")), "found")
+            if last is not None:
+                scratch.drop(last)
+    return done
 
 
 def align_recordings(media: DataFrame, id_col: str, audio_col: str, rendered: bool = False, every: int = 50, scratch: Scratch | None = None) -> DataFrame:
-    """Matches of every recording whose id is divisible by ``every`` among all recordings."""
+    """One row for every recording: id, class_id (the smallest id of equal fingerprint), n_codes, n_links (recordings with an id divisible by
+    ``every``, other than itself, that it aligns with), and the best of them: query_id, offset, overlap, errors."""
     s = scratch or Scratch(media.sparkSession)
-    prints = s.keep(fingerprints(media, id_col, audio_col, rendered), "fingerprints")
-    return search(prints, prints.where(F.col("id") % every == 0), s)
+    prints = s.keep(fingerprints(media, id_col, audio_col, rendered).select("id", "codes", F.when(F.length("codes") >= 4 * OVERLAP, F.md5("codes")).alias("key")), "fingerprints")
+    asks = F.col("id") % every == 0
+    grouped = prints.where("key is not null").groupBy("key").agg(F.min("id").alias("class_id"), F.count_if(asks).alias("queries"), F.min(F.when(asks, F.col("id"))).cast("long").alias("q1"), F.max(F.when(asks, F.col("id"))).cast("long").alias("q2"), F.first("codes").alias("codes"))
+    classes = s.keep(grouped, "classes")
+    facts = classes.drop("codes").join(search(classes, s), "key", "left")
+    out = prints.select("id", "key", (F.length("codes") / 4).cast("int").alias("n_codes")).join(facts.select(F.col("key").alias("k"), "class_id", "queries", "q1", "q2", "links", "best"), F.col("key") == F.col("k"), "left")
+    # Queries of its own class align with no error at offset 0.
+    own = F.coalesce(F.col("queries") - F.coalesce(asks, F.lit(False)).cast("long"), F.lit(0))
+    peer = F.when(F.col("q1") == F.col("id"), F.col("q2")).otherwise(F.col("q1"))
+    return out.select(
+        "id",
+        "class_id",
+        "n_codes",
+        (own + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.when(own > 0, peer).otherwise(F.col("best.query_id")).alias("query_id"),
+        F.when(own > 0, 0).otherwise(F.col("best.offset")).alias("offset"),
+        F.when(own > 0, F.col("n_codes")).otherwise(F.col("best.overlap")).alias("overlap"),
+        F.when(own > 0, 0.0).otherwise(F.col("best.errors")).alias("errors"),
+    )

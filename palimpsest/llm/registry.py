@@ -53,7 +53,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignments of every recording with an id divisible by 50 among all recordings, rendered from all embeddings."""
+    """All recordings, rendered from all embeddings: class, and alignment with the recordings whose id is divisible by 50."""
     return media.align_recordings(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", rendered=True)
 
 
