@@ -1,21 +1,27 @@
 """Near-duplicate documents by SetSketch: band registers, estimate jointly by likelihood, then verify on full sets.
 
-Equal sets are one class, by a 128-bit digest, so copies never meet one another. Class representatives go through
-    bands        representatives that share a band are joined to the smallest of it (a star: linear, not all pairs);
+Equal sets are one class, by a digest of two 64-bit codes; the first is the class's code (classes whose first codes clash are told
+apart by the second), so copies never meet one another. Classes go through
+    bands        classes that share a band are joined to the smallest of it (a star: linear, not all pairs);
                  what hangs together is a family
     likelihood   inside a family, pairs whose registers speak against the threshold are cut; what still hangs
                  together is a smaller family
     verification inside a smaller family, the exact similarity of the full shingle sets decides
-Each of the last two looks at a family in bounded blocks, in size order, and returns a spanning forest of the links
-that it found, never the pairs. No link is lost between blocks: every pair of blocks whose sizes allow the threshold is looked at.
+Each of the last two returns a spanning forest of the links that it found, never the pairs. A family beyond a block is first cut
+into blocks at random, twice; what those rounds tie together needs no further look at itself, so that only blocks of different
+components are then held against one another: a family that hangs together ships each of its members a few times,
+however large it is. No link is lost: every pair of members of different components whose sizes allow the threshold is looked at.
 
-Defined results: a null or blank text has the empty set and links with nothing. Rows that share an id are one node. A row whose id is null
-takes part in nothing: its component is null and it is kept.
+Registers are written by the pass that signs and read from there. Texts, registers and band rows meet the keys that they are wanted for by
+broadcast, up to HELD keys; beyond, each of these joins shuffles its large side once.
+
+Defined results: a null or blank text has the empty set and links with nothing. A row whose id is null
+takes part in nothing: its component is null and it is kept. Rows that share an id but not the text are nodes of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,25 +34,34 @@ from palimpsest.operators.graph import connected_components
 from palimpsest.plans.scratch import Scratch
 from palimpsest.plans.ship import ship
 
-#: Rows and weight (registers or shingles) of a block.
-BLOCK_ROWS, BLOCK_WEIGHT = 256, 200_000
+#: Rows and weight (registers or shingles) of a block, and random rounds before blocks are held against one another.
+BLOCK_ROWS, BLOCK_WEIGHT, ROUNDS = 256, 200_000, 2
+#: Keys (two numbers each) that texts, registers or band rows are joined with by broadcast; more are joined by a shuffle.
+HELD = 1_000_000
 _EDGES = "a long, b long"
 
 
+def joined(big: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """big, which is not to be shuffled if it can be helped, joined with a written table: broadcast only if that has been counted to HELD rows at most."""
+    return big.join(F.broadcast(few) if few.count() <= HELD else few, on, how)
+
+
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for i, data, off in T.pieces(batch.column(1)):
+            for i, data, off in T.pieces(batch.column(2)):
                 docs = len(off) - 1
-                value, doc, bound = T.shingle_sets(data, off, k)
+                h, at, _, _ = T.words(data, off)
+                one, where = T.shingles(h, at, k)
+                two, _ = T.shingles(h, at, k, seed=1)
+                value, doc, bound = T.sets(one, where, docs)
                 n = np.diff(bound)
                 regs = S.sketches(value, doc, docs)
-                one, two = T.mix(value), T.mix(value ^ T.U(0x5DEECE66D1CE4E5B))
+                # Sums over the set, and its least hashes in all their bits: two sets of one shingle each differ in 64 bits twice.
                 total = lambda x: np.add.reduceat(np.r_[x, T.U(0)], np.minimum(bound[:-1], len(x))) * (n > 0).astype(np.uint64)  # noqa: B023, E731
-                d1, d2 = (T.mix(total(x) ^ n.astype(np.uint64)).view(np.int64) for x in (one, two))
+                code, d2 = (T.mix(T.mix(total(T.mix(value ^ T.U(salt))) ^ n.astype(np.uint64)) ^ T.least(x, where, docs)).view(np.int64) for salt, x in ((0, one), (0x5DEECE66D1CE4E5B, two)))
                 blob = pa.Array.from_buffers(pa.binary(), docs, [None, pa.py_buffer((np.arange(docs + 1) * 2 * S.M).astype(np.int32)), pa.py_buffer(regs.tobytes())])
-                yield pa.RecordBatch.from_arrays([ids.slice(i, docs), pa.array(n), pa.array(d1), pa.array(d2), blob], ["id", "n", "d1", "d2", "regs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, docs), batch.column(1).slice(i, docs), pa.array(n), pa.array(code), pa.array(d2), blob], ["id", "mark", "n", "code", "d2", "regs"])
 
     return run
 
@@ -56,35 +71,39 @@ def _registers(col) -> np.ndarray:
 
 
 def _bands(lo: int, hi: int):
+    """Keys of bands lo to hi of the batch's different classes, with the node that stands for the class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.take(pa.array(np.unique(batch.column(0).to_numpy(), return_index=True)[1]))
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                keys = S.band_keys(_registers(part.column(1)), lo, hi).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), hi - lo))], ["key", "node"])
+                keys = S.band_keys(_registers(part.column(2)), lo, hi).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(1).to_numpy(), hi - lo))], ["key", "node"])
 
     return run
 
 
-def families(nodes: DataFrame, s: Scratch, steps: tuple[int, ...] = (16, S.BANDS)) -> DataFrame:
-    """(node, family) of the nodes (node, regs) that share bands, directly or through others.
+def families(signed: DataFrame, s: Scratch, steps: tuple[int, ...] = (16, S.BANDS)) -> DataFrame:
+    """(code, family) of the classes in signed (code, regs) that share bands, directly or through others.
 
-    The first bands are joined first; nodes that they tie together count as one in the buckets of the other bands, so
+    The first bands are joined first; classes that they tie together count as one in the buckets of the other bands, so
     that a large group, which fills a bucket in most bands, is not linked again in each.
     """
     label, lo = None, 0
     for hi in steps:
-        own = nodes if label is None else nodes.join(label, "node", "left").select(F.coalesce("family", "node").alias("node"), "regs")
-        rows = own.select("node", "regs").mapInArrow(_bands(lo, hi), "key long, node long")
+        own = signed.withColumn("node", F.col("code")) if label is None else joined(signed, label, "code", "left").withColumn("node", F.coalesce("family", "code"))
+        rows = own.select("code", "node", "regs").mapInArrow(_bands(lo, hi), "key long, node long")
         stars = s.keep(rows.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last"), "stars")
-        more = rows.join(stars, "key").where("node <> lead and node <> last").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+        more = joined(rows, stars, "key").where("node <> lead and node <> last").select(F.col("lead").alias("a"), F.col("node").alias("b"))
         edges = stars.select(F.col("lead").alias("a"), F.col("last").alias("b")).unionByName(more)
         got = connected_components(edges, scratch=s).select(F.col("node").alias("old"), F.col("component").alias("new"))
+        s.drop(stars)
         if label is None:
-            label = got.select(F.col("old").alias("node"), F.col("new").alias("family"))
+            label = s.keep(got.select(F.col("old").alias("code"), F.col("new").alias("family")), "families")
         else:
-            kept = label.join(got, F.col("family") == F.col("old"), "left").select("node", F.coalesce("new", "family").alias("family"))
-            fresh = got.join(label.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("new").alias("family"))
+            kept = label.join(got, F.col("family") == F.col("old"), "left").select("code", F.coalesce("new", "family").alias("family"))
+            fresh = got.join(label.select(F.col("code").alias("old")), "old", "left_anti").select(F.col("old").alias("code"), F.col("new").alias("family"))
             label = s.keep(kept.unionByName(fresh), "families")
         lo = hi
     return label
@@ -122,7 +141,7 @@ def _edges(out: list) -> pa.Table:
 def _screen(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         out: list = []
-        nodes, n, regs = table.column("node").to_numpy(), table.column("n").to_numpy(), _registers(table.column("payload"))
+        nodes, n, regs = table.column("code").to_numpy(), table.column("n").to_numpy(), _registers(table.column("payload"))
         for part in _families(table):
             f, r, size = len(part), regs[part], n[part]
             i, j = np.triu_indices(f, 1)
@@ -157,8 +176,8 @@ def intersections(value: np.ndarray, doc: np.ndarray, docs: int, wide: int = 409
 def _verify(k: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         out: list = []
-        nodes = table.column("node").to_numpy()
-        value, doc, shift = [], [], 0
+        nodes = table.column("code").to_numpy()
+        value, doc = [], []
         for i, data, off in T.pieces(table.column("payload").combine_chunks()):
             v, d, _ = T.shingle_sets(data, off, k)
             value.append(v)
@@ -183,24 +202,103 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _groups(members: DataFrame, threshold: float, s: Scratch) -> DataFrame:
-    """(node, family, gid): bounded groups such that any two members of a family whose sizes allow the threshold
-    share one. members: node, family, n, w."""
+def _blocks(rows: DataFrame, by: list[str], node_hash) -> DataFrame:
+    """rows with their block within the groups of ``by``: BLOCK_ROWS and BLOCK_WEIGHT, in the mean."""
+    need = rows.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.ceil(F.sum("w") / F.lit(BLOCK_WEIGHT))).cast("long").alias("nb"))
+    return rows.join(need, by).withColumn("sub", F.pmod(node_hash, F.col("nb"))).drop("nb")
+
+
+def random_groups(large: DataFrame, step: float) -> DataFrame:
+    """(code, family, gid): each member of a large family in ROUNDS random blocks of members of like size."""
+    out = None
+    for r in range(ROUNDS):
+        c = F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + F.lit(r / ROUNDS)).cast("int")
+        own = _blocks(large.withColumn("c", c), ["family", "c"], F.xxhash64("code", F.lit(r)))
+        own = own.select("code", "family", F.xxhash64(F.lit(r), "family", "c", "sub").alias("gid"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def cross_groups(large: DataFrame, step: float, s: Scratch) -> DataFrame:
+    """(code, family, gid): blocks of members in pairs, so that any two members of a family that are of different components (column
+    comp) and whose sizes allow the threshold share a group. Blocks of one component are not held against one another."""
+    whole = large.groupBy("family", "comp").agg(F.count("*").alias("of")).join(large.groupBy("family").agg(F.count("*").alias("all")), "family").where("of < all")
+    rows = large.join(whole.drop("all"), ["family", "comp"]).withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int"))
+    # A large component has blocks of its own; the others share theirs.
+    rows = rows.withColumn("kind", F.when(F.col("of") >= BLOCK_ROWS, F.col("comp")))
+    rows = s.keep(_blocks(rows.withColumn("kind", F.coalesce("kind", F.lit(0))).withColumn("mixed", F.col("of") < BLOCK_ROWS), ["family", "c", "kind", "mixed"], F.xxhash64("code")), "cross")
+    block = rows.groupBy("family", "c", "kind", "mixed", "sub").agg(F.count("*").alias("rows"))
+    other = block.select("family", *(F.col(x).alias(f"{x}2") for x in ("c", "kind", "mixed", "sub")))
+    order = [F.struct(*(F.col(f"{x}{i}") for x in ("kind", "mixed", "sub"))) for i in ("", "2")]
+    pair = block.join(other, "family").where((F.col("c2") == F.col("c") + 1) | ((F.col("c2") == F.col("c")) & (order[0] <= order[1])))
+    pair = pair.where("mixed or mixed2 or kind <> kind2").withColumn("gid", F.xxhash64("family", "c", "kind", "mixed", "sub", "c2", "kind2", "mixed2", "sub2"))
+    sides = pair.select("family", "c", "kind", "mixed", "sub", "gid")
+    sides = sides.unionByName(pair.where("c <> c2 or kind <> kind2 or mixed <> mixed2 or sub <> sub2").select("family", *(F.col(f"{x}2").alias(x) for x in ("c", "kind", "mixed", "sub")), "gid"))
+    return rows.join(sides, ["family", "c", "kind", "mixed", "sub"]).select("code", "family", "gid")
+
+
+def settle(members: DataFrame, payload: DataFrame, judge: Callable[[pa.Table], pa.Table], threshold: float, s: Scratch) -> DataFrame:
+    """(node, component) of what judge links within the families of members (code, family, n, w); payload: code, payload.
+
+    Groups that judge is given are bounded blocks; see the module's docstring for how large families are looked at."""
+    # Groups are small in bytes and long in work: not to be merged into few tasks.
+    spread = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = float(np.log(1 / threshold))
+    node = members.select("code", "n").join(payload, "code")
+
+    def links(groups: DataFrame) -> DataFrame:
+        return groups.join(node, "code").repartition(spread, "gid").groupBy("gid").applyInArrow(judge, _EDGES)
+
     by = members.groupBy("family").agg(F.count("*").alias("rows"), F.sum("w").alias("weight"))
     small_rule = (F.col("rows") <= BLOCK_ROWS) & (F.col("weight") <= BLOCK_WEIGHT)
     m = s.keep(members.join(by.where("rows > 1").withColumn("small", small_rule).select("family", "small"), "family"), "members")
-    total = m.where("small").agg(F.count("*").alias("r"), F.sum("w").alias("w")).first()
+    total = m.agg(F.count_if("small").alias("r"), F.sum(F.when(F.col("small"), F.col("w"))).alias("w"), F.count_if(~F.col("small")).alias("large")).first()
     packs = max(1, -(-(total["r"] or 0) // BLOCK_ROWS), -(-(total["w"] or 0) // BLOCK_WEIGHT))
-    little = m.where("small").select("node", "family", F.pmod(F.xxhash64("family"), F.lit(packs)).alias("gid"))
-    step = float(np.log(1 / threshold))
-    large = m.where("not small").withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int"))
-    blocks = large.groupBy("family", "c").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.ceil(F.sum("w") / F.lit(BLOCK_WEIGHT))).cast("long").alias("nb"))
-    large = large.join(blocks, ["family", "c"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("nb")))
-    block = blocks.select("family", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("sub"))
-    other = block.select("family", F.col("c").alias("c2"), F.col("sub").alias("sub2"))
-    pair = block.join(other, "family").where("c2 = c + 1 or (c2 = c and sub2 >= sub)").withColumn("gid", F.xxhash64("family", "c", "sub", "c2", "sub2"))
-    sides = pair.select("family", "c", "sub", "gid").unionByName(pair.where("c <> c2 or sub <> sub2").select("family", F.col("c2").alias("c"), F.col("sub2").alias("sub"), "gid"))
-    return little.unionByName(large.join(sides, ["family", "c", "sub"]).select("node", "family", "gid"))
+    groups = m.where("small").select("code", "family", F.pmod(F.xxhash64("family"), F.lit(packs)).alias("gid"))
+    if not total["large"]:
+        return connected_components(links(groups), scratch=s)
+    large = m.where("not small").drop("small")
+    first = s.keep(links(groups.unionByName(random_groups(large, step))), "links")
+    comp = connected_components(first, scratch=s).select(F.col("node").alias("code"), F.col("component").alias("comp"))
+    large = s.keep(large.join(comp, "code", "left").withColumn("comp", F.coalesce("comp", "code")), "large")
+    more = links(cross_groups(large, step, s))
+    return connected_components(first.unionByName(more), scratch=s)
+
+
+def apart(signed: DataFrame, s: Scratch) -> DataFrame:
+    """signed with other codes for the classes whose codes are equal but whose second codes are not."""
+    clash = s.keep(signed.groupBy("code").agg(F.min("d2").alias("least"), F.max("d2").alias("most")).where("least < most").select("code", "least"), "clashes")
+    if not clash.count():
+        return signed
+    other = F.when(F.col("d2") > F.col("least"), F.xxhash64("code", "d2")).otherwise(F.col("code"))
+    return s.keep(signed.join(clash, "code", "left").withColumn("code", F.coalesce(other, "code")).drop("least"), "sketches")
+
+
+def components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, s: Scratch) -> DataFrame:
+    """(id, mark, n, code, component, least, least_mark) for every row of docs: mark is a hash of id and text; component is the smallest id
+    reachable, (least, least_mark) the id and mark of the row that stands for the component."""
+    ship(docs.sparkSession)
+    threshold = percent / 100
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    sig = apart(s.keep(src.mapInArrow(_sign(k), "id long, mark long, n long, code long, d2 long, regs binary"), "sketches"), s)
+    live = sig.where("n > 0 and id is not null")
+    classes = s.keep(live.groupBy("code").agg(F.min(F.struct("id", "mark")).alias("row"), F.first("n").alias("n")).select("code", "row.*", "n"), "classes")
+
+    members = s.keep(families(live.select("code", "regs"), s).join(classes, "code"), "family")
+    regs = s.keep(joined(live.select("id", "mark", "regs"), members.select("id", "mark", "code"), ["id", "mark"]).groupBy("code").agg(F.first("regs").alias("payload")), "registers")
+    family = settle(members.select("code", "family", "n", F.lit(S.M).cast("long").alias("w")), regs, _screen(threshold), threshold, s)
+
+    members = s.keep(family.select(F.col("node").alias("code"), F.col("component").alias("family")).join(members.drop("family"), "code"), "plausible")
+    texts = s.keep(joined(src, members.select("id", "mark", "code"), ["id", "mark"]).groupBy("code").agg(F.first("text").alias("payload")), "texts")
+    linked = settle(members.select("code", "family", "n", F.col("n").alias("w")), texts, _verify(k, percent), threshold, s)
+    for t in (regs, texts):
+        s.drop(t)
+
+    label = classes.join(linked.withColumnRenamed("node", "code"), "code", "left").withColumn("component", F.coalesce("component", "code"))
+    heads = label.groupBy("component").agg(F.min(F.struct("id", "mark")).alias("head"))
+    label = s.keep(label.select("code", "component").join(heads, "component").select("code", F.col("head.id").alias("least"), F.col("head.mark").alias("least_mark")), "labels")
+    rows = sig.select("id", "mark", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("code")).alias("code"))
+    return rows.join(label, "code", "left")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -209,49 +307,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     k: words of a shingle; percent: documents are linked if 100 * intersection >= percent * union.
     See the module's docstring for the method and for nulls, empty texts and repeated rows.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    s = scratch or Scratch(spark)
-    threshold = percent / 100
-    # Groups are small in bytes and long in work: not to be merged into few tasks.
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = s.keep(src.mapInArrow(_sign(k), "id long, n long, d1 long, d2 long, regs binary"), "sketches")
-    live = sig.where("n > 0 and id is not null")
-    classes = s.keep(live.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
-
-    family = families(classes.select("node", "regs"), s)
-
-    node = classes.select("node", "n", F.col("regs").alias("payload"))
-    members = s.keep(family.join(node.select("node", "n"), "node").select("node", "family", "n", F.lit(S.M).cast("long").alias("w")), "family")
-    grouped = _groups(members, threshold, s).join(node, "node")
-    plausible = grouped.repartition(spread, "gid").groupBy("gid").applyInArrow(_screen(threshold), _EDGES)
-    family = connected_components(plausible, scratch=s)
-
-    members = s.keep(family.select("node", F.col("component").alias("family")).join(node.select("node", "n"), "node").select("node", "family", "n", F.col("n").alias("w")), "plausible")
-    texts = s.keep(src.withColumnRenamed("id", "node").join(members.select("node"), "node", "left_semi").select("node", F.col("text").alias("payload")), "texts")
-    grouped = _groups(members, threshold, s).join(texts, "node")
-    links = grouped.repartition(spread, "gid").groupBy("gid").applyInArrow(_verify(k, percent), _EDGES)
-    linked = connected_components(links, scratch=s)
-
-    label = classes.join(linked, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
-    return (
-        sig.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "d1", "d2")
-        .join(label.withColumn("some", F.lit(True)), ["d1", "d2"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    found = components(docs, k, percent, id_col, text_col, scratch or Scratch(docs.sparkSession))
+    found = found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """The rows of docs, all columns, without all but one of each group of near-duplicates. Rows with a null id stay;
-    of rows that share an id, the first by text stays."""
+    """The rows of docs, all columns, without all but one of each group of near-duplicates.
+
+    Rows are told apart by id and text: of rows that share an id but not the text, only those go that are near-duplicates. Of rows
+    with equal id and text one stays. Rows with a null id or without a word stay all.
+    Up to HELD rows that go are broadcast; beyond, the rows are shuffled once.
+    """
     s = scratch or Scratch(docs.sparkSession)
-    found = s.keep(near_duplicates(docs, k, percent, id_col, text_col, s), "groups")
-    gone = found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    out = docs.join(gone, id_col, "left_anti")
-    twice = s.keep(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col)), "repeated")
-    if not twice.limit(1).count():
-        return out
-    again = out.join(twice, id_col, "left_semi").groupBy(id_col).agg(F.min(F.struct(F.col(text_col), F.struct(*(c for c in docs.columns)))).alias("x")).select("x.col2.*")
-    return out.join(twice, id_col, "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
+    found = s.keep(components(docs, k, percent, id_col, text_col, s).where("least is not null").select("id", "mark", "least", "least_mark"), "found")
+    stays = (F.col("id") == F.col("least")) & (F.col("mark") == F.col("least_mark"))
+    gone = s.keep(found.where(~stays).select("id", "mark").distinct(), "gone")
+    twice = s.keep(found.where(stays).groupBy("id", "mark").count().where("count > 1").select("id", "mark"), "repeated")
+    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("mark"))
+    out = joined(row, gone, ["id", "mark"], "left_anti")
+    if not twice.count():
+        return out.select("row.*")
+    again = out.join(twice, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.min("row").alias("row"))
+    return out.join(twice, ["id", "mark"], "left_anti").select("row.*").unionByName(again.select("row.*"))
