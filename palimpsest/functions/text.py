@@ -15,6 +15,10 @@ AGENCY_WORD = r"(?i)\breuters\b"
 PREFIX_CHARS, HEAD_WORDS = 300, 100
 
 
+# White space as Unicode has it, with the four separators of ASCII; for a class in a pattern.
+WHITE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -45,7 +49,7 @@ def words(c: Column | str) -> Column:
 
 def raw_word_count(c: Column | str) -> Column:
     """Runs of other than white space."""
-    return F.size(F.filter(F.split(F.trim(F.regexp_replace(col(c), r"\s+", " ")), " "), lambda w: w != ""))
+    return F.regexp_count(col(c), F.lit(rf"[^{WHITE}]+"))
 
 
 def digest(c: Column | str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,9 +82,21 @@ def t_quantile(p: float, df: int) -> float:
 
 
 def t_critical(n: Column, most: int = 64, level: float = 0.95) -> Column:
-    """The two-sided critical value for samples of n (2 to most), as a table made from the quantile."""
+    """The two-sided critical value for samples of n: up to ``most`` from a table made from the quantile, beyond by the expansion of
+    Cornish and Fisher around the normal quantile, which is exact to nine digits there."""
     table = F.array(*(F.lit(t_quantile(0.5 + level / 2, k)) for k in range(1, most)))
-    return F.when((n >= 2) & (n <= most), F.element_at(table, (n - 1).cast("int")))
+    z, v = NormalDist().inv_cdf(0.5 + level / 2), (n - 1).cast("double")
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    far = F.lit(z)
+    for i, t in enumerate(terms):
+        far = far + F.lit(t) / F.pow(v, F.lit(i + 1))
+    return F.when((n >= 2) & (n <= most), F.element_at(table, (n - 1).cast("int"))).when(n > most, far)
+
+
+def gap_share(df: DataFrame, changed: str, base: str, least: float = 1e-12) -> DataFrame:
+    """df with share, 1 - changed / base; a base near 0 is an error, as the ratio would mean nothing."""
+    near = F.raise_error(F.concat(F.lit("gap near zero: "), F.col(base).cast("string"))).cast("double")
+    return df.withColumn("share", F.when(F.abs(base) <= least, near).otherwise(1 - F.col(changed) / F.col(base)))
 
 
 def summarise(values: DataFrame, by: tuple[str, ...], value: str = "value") -> DataFrame:

@@ -21,10 +21,12 @@ PRIMARY, PRIMARY_K, SENSITIVE, SENSITIVE_K, CONTAINED, LEAST_SET = 0.8, 5, 0.5,
 BLOCK_ROWS, BLOCK_WEIGHT = 256, 200_000
 
 
-def shingle_rows(df: DataFrame, doc: str, words: Column, k: int) -> DataFrame:
-    """(doc, sh, n): the distinct shingles of each document as hashes, and how many it has."""
-    x = df.select(F.col(doc).alias("doc"), T.shingles(words, k).alias("s"))
-    return x.select("doc", F.size("s").alias("n"), F.explode("s").alias("sh")).select("doc", F.xxhash64("sh").alias("sh"), "n")
+def shingle_rows(df: DataFrame, doc: str, words: Column, k: int, within: str | None = None) -> DataFrame:
+    """(doc, sh, n): the distinct shingles of each document as hashes, and how many it has. within: a column that goes into the
+    hashes, so that documents that differ in it share nothing."""
+    x = df.select(F.col(doc).alias("doc"), *([F.col(within).alias("within")] if within else []), T.shingles(words, k).alias("s"))
+    own = ["within"] if within else []
+    return x.select("doc", *own, F.size("s").alias("n"), F.explode("s").alias("sh")).select("doc", F.xxhash64(*own, "sh").alias("sh"), "n")
 
 
 def shared(rows: DataFrame, least: float, scratch: Scratch, other: DataFrame | None = None) -> DataFrame:
@@ -47,17 +49,18 @@ def shared(rows: DataFrame, least: float, scratch: Scratch, other: DataFrame | N
     return both.where(F.col("both") >= least * F.least("na", "nb"))
 
 
-def near_pairs(df: DataFrame, doc: str, norm: str, k: int = PRIMARY_K, threshold: float = PRIMARY, scratch: Scratch | None = None, least_set: int = LEAST_SET, views: tuple[str, ...] = ("full", "head")) -> DataFrame:
+def near_pairs(df: DataFrame, doc: str, norm: str, k: int = PRIMARY_K, threshold: float = PRIMARY, scratch: Scratch | None = None, least_set: int = LEAST_SET, views: tuple[str, ...] = ("full", "head"), within: str | None = None) -> DataFrame:
     """(i, j, jaccard, containment), i < j: near-duplicates in either view (whole text, first words).
 
     A pair qualifies by Jaccard >= threshold, or by containment >= 0.9 if the smaller set has at least least_set shingles; it shows
-    the greatest values over the views in which it qualifies, containment 0 where the smaller set is too small.
+    the greatest values over the views in which it qualifies, containment 0 where the smaller set is too small. within: only pairs
+    that are equal in this column.
     """
     s = scratch or Scratch(df.sparkSession)
     found = []
     for view in views:
         w = T.words(norm) if view == "full" else F.slice(T.words(norm), 1, T.HEAD_WORDS)
-        p = shared(shingle_rows(df, doc, w, k), min(threshold, CONTAINED), s)
+        p = shared(shingle_rows(df, doc, w, k, within), min(threshold, CONTAINED), s)
         j = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
         low = F.least("na", "nb")
         c = F.when(low >= least_set, F.col("both") / low).otherwise(F.lit(0.0))
@@ -71,6 +74,19 @@ def clusters(nodes: DataFrame, pairs: DataFrame, doc: str, scratch: Scratch | No
     return nodes.join(comp.select(F.col("node").alias(doc), "component"), doc, "left").withColumn("cluster", F.coalesce("component", doc)).drop("component")
 
 
+def clusters_within(nodes: DataFrame, doc: str, norm: str, dataset: str, scratch: Scratch | None = None) -> DataFrame:
+    """nodes with cluster, as near-duplicates of the same dataset lead: clusters never cross datasets."""
+    return clusters(nodes, near_pairs(nodes, doc, norm, within=dataset, scratch=scratch), doc, scratch)
+
+
+def borderline(df: DataFrame, doc: str, norm: str, scratch: Scratch | None = None) -> DataFrame:
+    """(i, j, jaccard, containment, tier): pairs to look at: those of the sensitivity tier alone, and primary ones (by containment) whose
+    Jaccard lies up to 0.05 below the threshold."""
+    primary = near_pairs(df, doc, norm, scratch=scratch)
+    wide = near_pairs(df, doc, norm, SENSITIVE_K, SENSITIVE, scratch).join(primary, ["i", "j"], "left_anti").withColumn("tier", F.lit("sensitivity"))
+    return wide.unionByName(primary.where((F.col("jaccard") >= PRIMARY - 0.05) & (F.col("jaccard") < PRIMARY)).withColumn("tier", F.lit("primary")))
+
+
 def exact_overlap(df: DataFrame, hashes: tuple[str, ...], doc: str = "doc_id", label: str = "is_fake", dataset: str = "dataset") -> DataFrame:
     """(pair, evidence, pairs, docs_a, docs_b, conflicts) of equal hashes between datasets.
 

@@ -21,15 +21,16 @@ def stratified(df: DataFrame, strata: tuple[str, ...], n: int, seed: int, key: s
     return df.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def bin_edges(df: DataFrame, n: str, bins: int) -> DataFrame:
-    """One row with the distinct quantile edges of n (linear interpolation, exact)."""
+def bin_edges(df: DataFrame, n: str, bins: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, edges): the distinct quantile edges of n (linear interpolation, exact) of each group."""
     q = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    return df.agg(F.array_distinct(F.percentile(n, q)).alias("edges"))
+    return df.groupBy(*by).agg(F.array_distinct(F.percentile(n, q)).alias("edges"))
 
 
-def length_bins(df: DataFrame, n: str, bins: int = 10) -> DataFrame:
-    """df with bin: how many edges n has reached, less one, within the bins. Ties can leave fewer bins."""
-    x = df.crossJoin(F.broadcast(bin_edges(df, n, bins)))  # one row of bins + 1 edges
+def length_bins(df: DataFrame, n: str, bins: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with bin: how many edges of its group n has reached, less one, within the bins. Ties can leave fewer bins."""
+    edges = bin_edges(df, n, bins, by)
+    x = df.join(edges, list(by)) if by else df.crossJoin(F.broadcast(edges))  # without groups, one row of bins + 1 edges
     at = F.size(F.filter("edges", lambda e: e <= F.col(n))) - 1
     return x.withColumn("bin", F.greatest(F.lit(0), F.least(at, F.size("edges") - 2))).drop("edges")
 

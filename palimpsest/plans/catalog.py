@@ -72,7 +72,7 @@ def ws(x: str) -> str:
 
 
 def raw_words(x: str) -> str:
-    return rf"len(list_filter(string_split(trim(regexp_replace({x}, '\s+', ' ', 'g')), ' '), lambda w: w <> ''))"
+    return f"len(regexp_extract_all({x}, '[^{T.WHITE}]+'))"
 
 
 H = f"""{C}, h0 AS (SELECT *, {norm("body")} AS tl, {norm(strip("body"))} AS text_ns, {norm("title")} AS il, {norm(strip("title"))} AS isx FROM c),
@@ -294,9 +294,9 @@ def near_dup_sensitivity(spark, d):
     return wide.join(overlap.near_pairs(x, "doc_id", "ns"), ["i", "j"], "left_anti").select("i", "j", *r9("jaccard"))
 
 
-@query(f"WITH {N}, {near_sql('p', 'n', 3, 0.5)} SELECT i, j, round(jaccard, 9) AS jaccard FROM p WHERE jaccard >= 0.75 AND jaccard < 0.8")
+@query(f"WITH {N}, {near_sql('p', 'n', 3, 0.5)}, {near_sql('q', 'n', 5, 0.8)} SELECT i, j, round(jaccard, 9) AS jaccard, 'sensitivity' AS tier FROM p WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.i = p.i AND q.j = p.j) UNION ALL SELECT i, j, round(jaccard, 9), 'primary' FROM q WHERE jaccard >= 0.75 AND jaccard < 0.8")
 def borderline_pairs(spark, d):
-    return overlap.near_pairs(normed(spark, d), "doc_id", "ns", overlap.SENSITIVE_K, overlap.SENSITIVE).where("jaccard >= 0.75 and jaccard < 0.8").select("i", "j", *r9("jaccard"))
+    return overlap.borderline(normed(spark, d), "doc_id", "ns").select("i", "j", *r9("jaccard"), "tier")
 
 
 @query(f"WITH {N}, {near_sql('p', 'n', 5, 0.8, 0, ('full',))} SELECT i, j, round(jaccard, 9) AS jaccard, round(containment, 9) AS containment FROM p")
@@ -304,17 +304,26 @@ def near_dup_screen(spark, d):
     return overlap.near_pairs(normed(spark, d), "doc_id", "ns", least_set=0, views=("full",)).select("i", "j", *r9("jaccard", "containment"))
 
 
-@query(f"WITH RECURSIVE {N}, {near_sql('p', 'n', 5, 0.8)}, {reach_sql('k', 'n', 'p')} SELECT node AS doc_id, dataset, dataset || '-c' || cluster AS cluster_id FROM k JOIN n ON n.doc_id = node")
+# Documents of at least 20 words, without groups of copies of both labels, one of each other group; and links within a dataset.
+CLEAN = f"""{H}, g0 AS (SELECT *, min(is_fake) OVER w AS lo, max(is_fake) OVER w AS hi, row_number() OVER (PARTITION BY dataset, h_text_light ORDER BY doc_id) AS r FROM h WHERE n_words >= 20 WINDOW w AS (PARTITION BY dataset, h_text_light)),
+n AS (SELECT doc_id, dataset, is_fake, text_ns AS ns FROM g0 WHERE lo = hi AND r = 1), {near_sql('p0', 'n', 5, 0.8)},
+p AS (SELECT p0.* FROM p0 JOIN n a ON a.doc_id = i JOIN n b ON b.doc_id = j WHERE a.dataset = b.dataset)"""
+
+
+def clustered(spark: SparkSession, d: str) -> DataFrame:
+    x = corpus.exact_dedup(hashed(spark, d).where("n_words >= 20"), "h_text_light", "is_fake", "doc_id").select("doc_id", "dataset", "is_fake", T.norm_strip("body").alias("ns"))
+    return overlap.clusters_within(x, "doc_id", "ns", "dataset")
+
+
+@query(f"WITH RECURSIVE {CLEAN}, {reach_sql('k', 'n', 'p')} SELECT node AS doc_id, dataset, dataset || '-c' || cluster AS cluster_id FROM k JOIN n ON n.doc_id = node")
 def near_dup_clusters(spark, d):
-    x = normed(spark, d)
-    return overlap.clusters(x, overlap.near_pairs(x, "doc_id", "ns"), "doc_id").select("doc_id", "dataset", F.concat(F.col("dataset"), F.lit("-c"), F.col("cluster").cast("string")).alias("cluster_id"))
+    return clustered(spark, d).select("doc_id", "dataset", F.concat(F.col("dataset"), F.lit("-c"), F.col("cluster").cast("string")).alias("cluster_id"))
 
 
-@query(f"""WITH RECURSIVE {N}, {near_sql('p', 'n', 5, 0.8)}, {reach_sql('k', 'n', 'p')}, g AS (SELECT dataset, cluster, count(*) AS n, min(is_fake) <> max(is_fake) AS c FROM k JOIN n ON n.doc_id = node GROUP BY 1, 2)
+@query(f"""WITH RECURSIVE {CLEAN}, {reach_sql('k', 'n', 'p')}, g AS (SELECT dataset, cluster, count(*) AS n, min(is_fake) <> max(is_fake) AS c FROM k JOIN n ON n.doc_id = node GROUP BY 1, 2)
 SELECT dataset, count(*) FILTER (n > 1) AS clusters, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS docs, max(n) AS largest, count(*) FILTER (c) AS label_conflicts FROM g GROUP BY dataset""")
 def cluster_stats(spark, d):
-    x = normed(spark, d)
-    return audit.cluster_stats(overlap.clusters(x, overlap.near_pairs(x, "doc_id", "ns"), "doc_id"), "cluster", "is_fake")
+    return audit.cluster_stats(clustered(spark, d), "cluster", "is_fake")
 
 
 @query(f"""WITH RECURSIVE {N}, {near_sql('p', 'n', 5, 0.8)}, {reach_sql('k', 'n', 'p')}, w AS (SELECT doc_id, 'toxic' AS reason FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'short' FROM n WHERE n_words < 20),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.operators import audit, corpus, grid, metrics, overlap, sampling, tfidf
 from palimpsest.plans.scratch import Scratch
-from palimpsest.plans.catalog import C, N, docs, near_sql, norm, normed, query, r9, read, reach_sql, strip, ws
+from palimpsest.plans.catalog import C, N, docs, raw_words, near_sql, norm, normed, query, r9, read, reach_sql, strip, ws
 
 
 _CELLS = """(SELECT l_linenumber AS seed, {cond} AS cond, s_nationkey % 3 AS train, c_nationkey % 3 AS test, CASE WHEN s_nationkey % 3 = c_nationkey % 3 THEN 'in' ELSE 'cross' END AS kind,
@@ -93,10 +93,10 @@ def factorial_effects(spark, d):
     return grid.factorial(cells8(spark, d), "auc").select("seed", "term", *r9("effect"))
 
 
-@query(f"WITH {G8}, m AS (SELECT seed, avg(gap) FILTER (cond = 'C0') AS base, avg(gap) FILTER (cond = 'SLE') AS sle FROM x GROUP BY seed) SELECT seed, round(1 - sle / base, 6) AS share FROM m WHERE abs(base) > 1e-6")
+@query(f"WITH {G8}, m AS (SELECT seed, avg(gap) FILTER (cond = 'C0') AS base, avg(gap) FILTER (cond = 'SLE') AS sle FROM x GROUP BY seed) SELECT seed, round(1 - sle / base, 6) AS share FROM m")
 def gap_share(spark, d):
     x = grid.with_gap(cells8(spark, d)).groupBy("seed").agg(F.avg(F.when(F.col("cond") == "C0", F.col("gap"))).alias("base"), F.avg(F.when(F.col("cond") == "SLE", F.col("gap"))).alias("full"))
-    return x.where("abs(base) > 1e-6").select("seed", F.round(1 - F.col("full") / F.col("base"), 6).alias("share"))
+    return grid.gap_share(x, "full", "base").select("seed", F.round("share", 6).alias("share"))
 
 
 @query(f"WITH {G8} SELECT train || '->' || test AS pair, round(avg(gap) FILTER (cond = 'C0'), 9) AS c0, round(avg(gap) FILTER (cond = 'SLE'), 9) AS sle, round(avg(gap) FILTER (cond = 'SLE') - avg(gap) FILTER (cond = 'C0'), 9) AS change FROM x GROUP BY 1")
@@ -191,15 +191,16 @@ def label_direction(spark, d):
 
 
 # Sampling ------------------------------------------------------------------------------------------------------------
-U = f"""{N}, u0 AS (SELECT *, row_number() OVER (PARTITION BY dataset, is_fake ORDER BY md5('42|' || doc_id), doc_id) AS r FROM n), u1 AS (SELECT * FROM u0 WHERE r <= 60),
-q AS (SELECT list_distinct(quantile_cont(n_words, [0.0, 0.25, 0.5, 0.75, 1.0])) AS d FROM u1), e AS (SELECT list_sort(d) AS edges FROM q),
-u AS (SELECT u1.*, greatest(0, least(len(list_filter(edges, lambda x: x <= n_words)) - 1, len(edges) - 2)) AS bin FROM u1, e)"""
+U = f"""{C}, u0 AS (SELECT *, {raw_words("text")} AS n_words, row_number() OVER (PARTITION BY dataset, is_fake ORDER BY md5('42|' || doc_id), doc_id) AS r FROM c), u1 AS (SELECT * FROM u0 WHERE r <= 60),
+q AS (SELECT dataset, list_distinct(quantile_cont(n_words, [0.0, 0.25, 0.5, 0.75, 1.0])) AS d FROM u1 GROUP BY dataset), e AS (SELECT dataset, list_sort(d) AS edges FROM q),
+u AS (SELECT u1.*, greatest(0, least(len(list_filter(edges, lambda x: x <= n_words)) - 1, len(edges) - 2)) AS bin FROM u1 JOIN e USING (dataset))"""
 UQ = f"""{U}, b0 AS (SELECT dataset, bin, count(*) FILTER (is_fake = 0) AS n0, count(*) FILTER (is_fake = 1) AS n1 FROM u GROUP BY 1, 2), b1 AS (SELECT *, least(n0, n1) AS m FROM b0), t AS (SELECT dataset, sum(m)::BIGINT AS total FROM b1 GROUP BY 1),
 lq AS (SELECT dataset, bin, n0, n1, m, total, CASE WHEN total > 0 THEN floor(m::DOUBLE * least(25.0::DOUBLE, total::DOUBLE) / total) ELSE 0 END::BIGINT AS quota FROM b1 JOIN t USING (dataset))"""
 
 
 def universe(spark, d) -> DataFrame:
-    return sampling.length_bins(sampling.stratified(normed(spark, d), ("dataset", "is_fake"), 60, 42, "doc_id").drop("rank"), "n_words", 4)
+    x = docs(spark, d).withColumn("n_words", T.raw_word_count("text"))
+    return sampling.length_bins(sampling.stratified(x, ("dataset", "is_fake"), 60, 42, "doc_id").drop("rank"), "n_words", 4, ("dataset",))
 
 
 @query(f"WITH {U} SELECT doc_id, dataset, is_fake FROM u1")

@@ -181,3 +181,73 @@ def test_stream_of_new_documents(spark, tmp_path):
     out = []
     watch(spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in")), items, lambda df, n: out.extend(df.collect()), str(tmp_path / "cp")).awaitTermination(120)
     assert [(r.item_id, r.doc_id) for r in out] == [(9, 1)]
+
+
+def test_bins_are_those_of_each_dataset(spark):
+    rows = [("A", n) for n in range(1, 11)] + [("B", n) for n in range(100, 200, 10)]
+    got = sampling.length_bins(spark.createDataFrame(rows, "dataset string, n int"), "n", 2, ("dataset",)).collect()
+    assert {(r.dataset, r.n): r.bin for r in got} == {(d, n): int(n >= (5.5 if d == "A" else 145)) for d, n in rows}
+
+
+def test_clusters_stay_within_a_dataset(spark):
+    from palimpsest.operators import overlap
+
+    w = [f"w{i}" for i in range(60)]
+    text = lambda i: " ".join([*(f"x{j}" for j in range(i)), *w[i:]])
+    # 1 and 3 of A are linked through 2 of B alone.
+    rows = [(1, "A", text(0)), (2, "B", text(5)), (3, "A", text(10)), (4, "A", text(1)), (5, "B", text(6))]
+    got = {r.doc_id: r.cluster for r in overlap.clusters_within(spark.createDataFrame(rows, "doc_id long, dataset string, ns string"), "doc_id", "ns", "dataset").collect()}
+    assert got[4] == 1 and got[5] == 2 and got[2] == 2
+    whole = {r.doc_id: r.cluster for r in overlap.clusters(spark.createDataFrame(rows, "doc_id long, dataset string, ns string"), overlap.near_pairs(spark.createDataFrame(rows, "doc_id long, dataset string, ns string"), "doc_id", "ns"), "doc_id").collect()}
+    assert whole[2] == 1
+
+
+def test_intervals_beyond_the_table(spark):
+    from palimpsest.operators import grid
+
+    got = {r.n: r.t for r in spark.createDataFrame([(n,) for n in (2, 64, 65, 70, 200, 5000)], "n int").select("n", grid.t_critical(F.col("n")).alias("t")).collect()}
+    assert all(abs(t - grid.t_quantile(0.975, n - 1)) < 1e-8 for n, t in got.items())
+
+
+def test_a_gap_near_zero_is_an_error(spark):
+    import pytest
+
+    from palimpsest.operators import grid
+
+    df = spark.createDataFrame([(0.2, 0.4), (0.1, 1e-13)], "sle double, c0 double")
+    assert grid.gap_share(df.limit(1), "sle", "c0").first().share == 0.5
+    with pytest.raises(Exception, match="near zero"):
+        grid.gap_share(df, "sle", "c0").collect()
+
+
+def test_white_space_beyond_ascii(spark):
+    from palimpsest.functions import text
+
+    rows = ["one\u00a0two\u3000three", "\x1ca\x1fb\u2028c ", "", " \t"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "t string").select(text.raw_word_count("t")).collect()]
+    assert got == [len(x.split()) for x in rows]
+
+
+def test_components_end_in_one_task_or_in_rounds(spark, monkeypatch):
+    import random
+
+    from palimpsest.operators import graph
+
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(180)] + [(5, 5), (None, 3)]
+    root = {x: x for e in edges for x in e if x is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    want = {x: find(x) for a, b in edges if a is not None and a != b for x in (a, b)}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for few in (0, 40, 16_384):
+        monkeypatch.setattr(graph, "FEW", few)
+        assert {r.node: r.component for r in graph.connected_components(df).collect()} == want
