@@ -29,6 +29,8 @@ BITS = 12
 BUCKETS = 1 << BITS
 #: The bounded sample that the classifiers are fitted on: rows of each language, rows and characters in all.
 ROWS_PER_LANG, SAMPLE_ROWS, SAMPLE_CHARS = 1500, 200_000, 12_000_000
+#: Languages up to which their counts are broadcast; more are joined by a shuffle.
+LANGS = 100_000
 #: Texts and bytes whose n-grams are counted at once.
 PIECE_ROWS, PIECE_BYTES = 500, 1 << 20
 #: Below this lead in weighted loss an answer is ambiguous.
@@ -126,12 +128,14 @@ def sample(docs: DataFrame, remainder: int = 1, parts: int = 3) -> tuple[list, l
     ids = may.select("doc_id", "lang", "o", "mark", F.length("text").alias("c"))
     # Hash thresholds bound the rows of a language before any are ranked; none is ranked beyond the sample.
     count = ids.groupBy("lang").agg(F.count("*").alias("rows"))
-    most = F.greatest(F.lit(1), F.least(F.lit(ROWS_PER_LANG), F.floor(F.lit(SAMPLE_ROWS) / F.count("*").over(Window.partitionBy(F.lit(0))))))
-    count = count.withColumn("most", most)  # one row for each language
-    share = F.least(F.lit(1.0), F.lit(2.0) * F.col("most") / F.col("rows"))
+    langs = count.limit(LANGS + 1).collect()
+    most = max(1, min(ROWS_PER_LANG, SAMPLE_ROWS // max(1, len(langs))))
+    if langs and len(langs) <= LANGS:
+        count = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["rows"]) for r in langs], "lang string, rows long"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * most) / F.col("rows"))
     few = ids.join(count, "lang").where((F.col("o").cast("double") / 2.0**64 + 0.5) <= share).dropDuplicates(["lang", "doc_id", "mark"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id", "mark"))
-    chosen = sorted(few.withColumn("r", rank).where(F.col("r") <= F.col("most")).select("r", "lang", "doc_id", "o", "c", "mark").collect())
+    chosen = sorted(few.withColumn("r", rank).where(F.col("r") <= most).select("r", "lang", "doc_id", "o", "c", "mark").collect())
     room, pick = SAMPLE_CHARS, []
     for r in chosen:
         if r["c"] <= room:
