@@ -1,7 +1,7 @@
 """A corpus pipeline: documents judged, freed of near-duplicates and of benchmark items, mixed and sharded.
 
-Defined results: rows without a word pass the first three stages (the first by its noise alone) and are taken once by the mix; rows with a null id
-stay in the second; of rows of equal id and text one stays there; empty tables give empty tables. Other columns are carried along as they are.
+Defined results: rows without a word are judged by noise alone in the first stage, stay in the next two and are taken once by the mix; rows with a
+null id stay in the second; of rows of equal id and text one stays there; empty tables give empty tables. Other columns are carried along as they are.
 """
 
 from __future__ import annotations
