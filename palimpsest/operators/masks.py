@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.sampling import hash_order
-from palimpsest.plans.ship import ship
+from palimpsest.functions.text import WHITE
 
 # Source-marker patterns (name, pattern, flags), all matched on the original text. i: any case, m: ^ and $
 # at lines.
@@ -55,43 +53,59 @@ ENTITY = r"\b(?:[A-Z][A-Za-z'’.-]+)(?:\s+(?:of|the|de|von|van|and|for)?\s*[A-Z
 SPANS = "array<struct<start:int,end:int>>"
 
 
-def patterns(letters: str, extra_terms: tuple[str, ...] = ()) -> list[re.Pattern]:
+def java(pattern: str, flags: str = "") -> str:
+    """A pattern with Unicode words, digits and white space, and with line feeds as the only ends of lines."""
+    return f"(?Ud{flags})" + pattern
+
+
+def patterns(letters: str, extra_terms: tuple[str, ...] = ()) -> list[str]:
     """Patterns of a mask: S all source markers, W newswire, B the others, T temporal, E entities."""
-    flag = lambda f: (re.I if "i" in f else 0) | (re.M if "m" in f else 0)
     out = []
     for c in letters:
         if c in "SWB":
-            out += [re.compile(p, flag(f)) for n, p, f in SOURCE if c == "S" or (n in WIRE) == (c == "W")]
+            out += [java(p, f) for n, p, f in SOURCE if c == "S" or (n in WIRE) == (c == "W")]
             if c == "S" and extra_terms:
-                out.append(re.compile(r"\b(?:" + "|".join(map(re.escape, extra_terms)) + r")\b", re.I))
+                out.append(java(r"\b(?:" + "|".join(map(re.escape, extra_terms)) + r")\b", "i"))
         elif c == "T":
-            out += [re.compile(p, flag(f)) for p, f in TEMPORAL]
+            out += [java(p, f) for p, f in TEMPORAL]
         elif c == "E":
-            out.append(re.compile(ENTITY))
+            out.append(java(ENTITY))
     return out
 
 
-def spans(letters: str, extra_terms: tuple[str, ...] = ()):
-    """A pandas UDF: spans (code points, end exclusive) of the mask on the original text, in order of start."""
+def spans(text: Column, letters: str, extra_terms: tuple[str, ...] = ()) -> Column:
+    """Spans (code points, end exclusive) of the mask on the original text, in order of start; none in a null text."""
+    found = [F.when(text.rlike(p), regex_spans(text, p)).otherwise(F.array().cast(SPANS)) for p in patterns(letters, extra_terms)]
+    return F.array_sort(F.concat(*found)) if found else F.array().cast(SPANS)
 
-    @F.pandas_udf(SPANS)
-    def find(texts: pd.Series) -> pd.Series:
-        own = patterns(letters, extra_terms)
-        return texts.map(lambda t: [{"start": a, "end": b} for a, b in sorted(m.span() for p in own for m in p.finditer(t or ""))])
 
-    return find
+def coverage(df: DataFrame, by: tuple[str, ...], text: str) -> DataFrame:
+    """(by, pattern, share): percentage of texts that each source pattern matches, to one decimal."""
+    x = df.groupBy(*by).agg(*(F.avg(F.coalesce(F.col(text).rlike(java(p, f)), F.lit(False)).cast("double")).alias(n) for n, p, f in SOURCE))
+    rows = F.array(*(F.struct(F.lit(n).alias("pattern"), F.round(100.0 * F.col(n), 1).alias("share")) for n, _, _ in SOURCE))
+    return x.select(*by, F.explode(rows).alias("x")).select(*by, "x.*")
 
 
 def cut(text: Column, found: Column) -> Column:
-    """The text without its spans (overlapping ones merged, nothing put in their place), white space collapsed; untouched without spans."""
-    ordered = F.array_sort(found)
-    start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("last"))
-    step = lambda acc, s: F.struct(
-        F.when(s["start"] > acc["last"], F.concat(acc["kept"], F.substring(text, acc["last"] + 1, s["start"] - acc["last"]))).otherwise(acc["kept"]).alias("kept"),
-        F.greatest(acc["last"], s["end"]).alias("last"),
-    )
-    done = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["kept"], F.substring(text, acc["last"] + 1, F.length(text))))
-    return F.when(F.size(found) == 0, text).otherwise(F.trim(F.regexp_replace(done, r"\s+", " ")))
+    """The text without its spans (overlapping ones merged, nothing put in their place), white space collapsed; untouched without spans.
+
+    What is kept before a span begins where the spans before it end, so the pieces are joined once.
+    """
+    size = F.size(found)
+
+    def pieces(x: Column) -> Column:
+        # The furthest end of the spans so far, then the gap from there to the next span's start.
+        zero = F.struct(F.lit(0).alias("last"), F.array().cast("array<struct<from:int,to:int>>").alias("gaps"))
+        step = lambda acc, s: F.struct(
+            F.greatest(acc["last"], s["end"]).alias("last"),
+            F.when(s["start"] > acc["last"], F.concat(acc["gaps"], F.array(F.struct(acc["last"].alias("from"), s["start"].alias("to"))))).otherwise(acc["gaps"]).alias("gaps"),
+        )
+        done = lambda acc: F.concat(acc["gaps"], F.array(F.struct(acc["last"].alias("from"), F.length(text).alias("to"))))
+        return F.array_join(F.transform(F.aggregate(x, zero, step, done), lambda g: F.substring(text, g["from"] + 1, g["to"] - g["from"])), "")
+
+    # The spans are bound once, as a lambda's variable.
+    rest = F.element_at(F.transform(F.array(F.array_sort(found)), pieces), 1)
+    return F.when(size == 0, text).otherwise(F.regexp_replace(F.regexp_replace(rest, f"[{WHITE}]+", " "), "^ | $", ""))
 
 
 def regex_spans(text: Column, pattern: str) -> Column:
@@ -108,8 +122,7 @@ def regex_spans(text: Column, pattern: str) -> Column:
 
 def mask(df: DataFrame, text: str, letters: str, extra_terms: tuple[str, ...] = ()) -> DataFrame:
     """df with spans and masked; every letter's patterns look at the original text."""
-    ship(df.sparkSession)
-    return df.withColumn("spans", spans(letters, extra_terms)(F.col(text))).withColumn("masked", cut(F.col(text), F.col("spans")))
+    return df.withColumn("spans", F.coalesce(spans(F.col(text), letters, extra_terms), F.array().cast(SPANS))).withColumn("masked", cut(F.col(text), F.col("spans")))
 
 
 def drop_words(df: DataFrame, key: str, text: str, m: str, seed: int, keep_one: bool) -> DataFrame:
@@ -117,7 +130,7 @@ def drop_words(df: DataFrame, key: str, text: str, m: str, seed: int, keep_one:
 
     keep_one: one word always stays (the older rule); else the count is exact, and texts may become empty.
     """
-    w = F.filter(F.split(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), " "), lambda x: x != "")
+    w = F.filter(F.split(F.regexp_replace(F.col(text), f"[{WHITE}]+", " "), " "), lambda x: x != "")
     order = lambda i: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string")))
 
     def drop(v: Column) -> Column:
@@ -129,6 +142,3 @@ def drop_words(df: DataFrame, key: str, text: str, m: str, seed: int, keep_one:
     # The words are bound once, as a lambda's variable.
     rest = F.element_at(F.transform(F.array(w), drop), 1)
     return df.withColumn("dropped", F.when(F.col(m) <= 0, F.col(text)).otherwise(rest))
-
-
-__all__ = ["ENTITY", "SOURCE", "TEMPORAL", "WIRE", "cut", "drop_words", "hash_order", "mask", "patterns", "regex_spans", "spans"]

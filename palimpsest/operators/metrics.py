@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators.sampling import hash_order
-
 
 def threshold_metrics(df: DataFrame, by: tuple[str, ...], score: str, label: str, cut: float = 0.5) -> DataFrame:
     """n, accuracy and F1 at score >= cut; F1 is 0 where it is undefined."""
@@ -63,6 +61,3 @@ def kappa_interval(df: DataFrame, key: str, a: str, b: str, seed: int, draws: in
     pe = pa * pb + (1 - pa) * (1 - pb)
     k = d.select(F.when(pe < 1, (po - pe) / (1 - pe)).alias("kappa"))
     return k.agg(F.percentile("kappa", F.lit(0.025)).alias("lo"), F.percentile("kappa", F.lit(0.975)).alias("hi"))
-
-
-__all__ = ["average_precision", "hash_order", "kappa", "kappa_interval", "roc_auc", "threshold_metrics"]

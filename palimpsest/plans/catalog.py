@@ -28,7 +28,11 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A table. Documents whose file has fewer row groups than there are cores are spread over the cores, as the work on texts outweighs
+    moving them; a table with more splits is read as it is."""
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -237,18 +241,15 @@ def quality_audit(spark, d):
     return audit.quality(x, "doc_id", "text", "is_fake", "cluster", "dataset", "n_words")
 
 
-_RE2 = [(n, p, f) for n, p, f in masks.SOURCE if "(?=" not in p and "(?<" not in p]
+def _re2(p: str, f: str) -> str:
+    """A source pattern for SQL engines without look-around: whether a text matches, not where, is the same."""
+    p = p.replace("(?=sources?", "(?:sources?").replace(r"(?<!\w)[@#]", r"(?:^|[^\p{L}\p{N}_])[@#]").replace("'", "''")
+    return (f"(?{f})" if f else "") + p
 
 
-def _ascii(p: str) -> str:
-    return p.replace(r"\w", "[0-9A-Za-z_]")
-
-
-@query(f"WITH {C} " + " UNION ALL ".join(f"SELECT dataset, is_fake, '{n}' AS pattern, round(100.0 * avg(CASE WHEN regexp_matches(text, '{('(?' + f + ')') if f else ''}{p.replace(chr(39), chr(39) * 2)}') THEN 1.0 ELSE 0.0 END), 1) AS share FROM c GROUP BY 1, 2" for n, p, f in _RE2))
+@query(f"WITH {C} " + " UNION ALL ".join(f"SELECT dataset, is_fake, '{n}' AS pattern, round(100.0 * avg(CASE WHEN regexp_matches(text, '{_re2(p, f)}') THEN 1.0 ELSE 0.0 END), 1) AS share FROM c GROUP BY 1, 2" for n, p, f in masks.SOURCE))
 def pattern_coverage(spark, d):
-    x = docs(spark, d).groupBy("dataset", "is_fake").agg(*(F.avg(F.col("text").rlike((f"(?{f})" if f else "") + p).cast("double")).alias(n) for n, p, f in _RE2))
-    rows = F.array(*(F.struct(F.lit(n).alias("pattern"), F.round(100.0 * F.col(n), 1).alias("share")) for n, _, _ in _RE2))
-    return x.select("dataset", "is_fake", F.explode(rows).alias("x")).select("dataset", "is_fake", "x.*")
+    return masks.coverage(docs(spark, d), ("dataset", "is_fake"), "text")
 
 
 # Families of words that deserve a look.

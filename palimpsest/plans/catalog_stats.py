@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.operators import audit, corpus, grid, metrics, overlap, sampling, tfidf
+from palimpsest.operators import grid, metrics, sampling, tfidf
 from palimpsest.plans.scratch import Scratch
-from palimpsest.plans.catalog import C, N, docs, raw_words, near_sql, norm, normed, query, r9, read, reach_sql, strip, ws
+from palimpsest.plans.catalog import C, N, docs, norm, normed, query, r9, raw_words, read, strip, ws
 
 
 _CELLS = """(SELECT l_linenumber AS seed, {cond} AS cond, s_nationkey % 3 AS train, c_nationkey % 3 AS test, CASE WHEN s_nationkey % 3 = c_nationkey % 3 THEN 'in' ELSE 'cross' END AS kind,
@@ -329,12 +329,12 @@ def kappa(spark, d):
 
 
 @query(f"""WITH {_K}, t AS (SELECT count(*) AS n, count(*) FILTER (a = 0 AND b = 0) AS c00, count(*) FILTER (a = 0 AND b = 1) AS c01, count(*) FILTER (a = 1 AND b = 0) AS c10 FROM k),
-r AS (SELECT draw, n, ('0x' || substr(md5('1|' || draw || '|' || pos), 1, 12))::BIGINT % n AS h, c00, c01, c10 FROM t, range(1, 201) a(draw), range(1, (SELECT n + 1 FROM t)) b(pos)),
+r AS (SELECT draw, n, ('0x' || substr(md5('1|' || draw || '|' || pos), 1, 12))::BIGINT % n AS h, c00, c01, c10 FROM t, range(1, 2001) a(draw), range(1, (SELECT n + 1 FROM t)) b(pos)),
 s AS (SELECT draw, n, count(*) FILTER (h < c00) AS k0, count(*) FILTER (h >= c00 AND h < c00 + c01) AS k1, count(*) FILTER (h >= c00 + c01 AND h < c00 + c01 + c10) AS k2, count(*) FILTER (h >= c00 + c01 + c10) AS k3 FROM r GROUP BY 1, 2),
 p AS (SELECT (k0 + k3) / n AS po, (k2 + k3) / n AS pa, (k1 + k3) / n AS pb FROM s), e AS (SELECT po, pa * pb + (1 - pa) * (1 - pb) AS pe FROM p), q AS (SELECT (po - pe) / (1 - pe) AS kappa FROM e WHERE pe < 1)
 SELECT round(quantile_cont(kappa, 0.025), 9) AS lo, round(quantile_cont(kappa, 0.975), 9) AS hi FROM q""")
 def kappa_bootstrap(spark, d):
-    return metrics.kappa_interval(rated(spark, d), "doc_id", "a", "b", 1, 200).select(*r9("lo", "hi"))
+    return metrics.kappa_interval(rated(spark, d), "doc_id", "a", "b", 1).select(*r9("lo", "hi"))
 
 
 # Models --------------------------------------------------------------------------------------------------------------
@@ -379,6 +379,3 @@ def grid_run_small(spark, d):
         cells = tfidf.cross_grid(x.withColumn("role", role), "dataset", "is_fake", "role").select(F.lit(seed).alias("seed"), F.lit("C0").alias("cond"), "*")
         out = cells if out is None else out.unionByName(cells)
     return grid.keep_last(out.withColumn("ordinal", F.lit(0)), ("seed", "cond", "train", "test"), "ordinal").drop("ordinal")
-
-
-__all__ = ["audit", "corpus", "near_sql", "overlap", "reach_sql"]

@@ -1,6 +1,7 @@
 """Literal edge cases and invariants of the library's operators."""
 
 import json
+import re
 import zipfile
 
 import pytest
@@ -251,3 +252,35 @@ def test_components_end_in_one_task_or_in_rounds(spark, monkeypatch):
     for few in (0, 40, 16_384):
         monkeypatch.setattr(graph, "FEW", few)
         assert {r.node: r.component for r in graph.connected_components(df).collect()} == want
+
+
+def _python_spans(text, letters):
+    """Spans by Python's re, pattern by pattern, on the original text."""
+    flag = lambda f: (re.I if "i" in f else 0) | (re.M if "m" in f else 0)
+    pats = []
+    for c in letters:
+        pats += [re.compile(p, flag(f)) for _, p, f in masks.SOURCE] if c == "S" else [re.compile(p, flag(f)) for p, f in masks.TEMPORAL] if c == "T" else [re.compile(masks.ENTITY)]
+    return sorted(m.span() for p in pats for m in p.finditer(text))
+
+
+def _python_cut(text, found):
+    if not found:
+        return text
+    out, last = [], 0
+    for a, b in found:
+        out.append(text[last:a] if a > last else "")
+        last = max(last, b)
+    return " ".join("".join([*out, text[last:]]).split())
+
+
+@pytest.mark.parametrize("letters", ["S", "T", "E", "SET"])
+def test_masks_equal_python(spark, sf, letters):
+    made = ["", "nothing here", "WASHINGTON (Reuters) - On May 5, 2016 at 5:30 p.m. CNN said\nShare:\r\nSource: AP\n😀 @josé #tag a@b see www.x.org", "NEW YORK (AP) — Featured image via Getty Images more\u0085end", "| source: Reuters | sources: x (source)", "é@no a@yes", "ПО 12.03.2019 Mr. José Ángel of the UN", "x " * 3000 + "https://a.b/c " * 300]
+    docs = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(made)], "doc_id long, text string").unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    for r in masks.mask(docs, "text", letters).collect():
+        if r.text is None:
+            assert r.spans == [] and r.masked is None
+            continue
+        want = _python_spans(r.text, letters)
+        assert [(s.start, s.end) for s in r.spans] == want, r.text[:300]
+        assert r.masked == _python_cut(r.text, want)
