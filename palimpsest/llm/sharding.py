@@ -6,6 +6,10 @@ not full. The arcs' counts (one row for each of shards * vnodes arcs) settle all
 every shard takes what comes to it, in ring order, until it is full, and turns away whole arcs or the end of one arc. An arc is thus cut into a
 few pieces by rank, and each piece has a shard and a first slot; documents need only their rank within their arc.
 
+Ranks follow position, then the text's CRC. Rows that are equal in id, size and CRC are counted as one and given back in the end; a position is
+ranked in up to 1024 parts by the high bits of the CRC, whose counts are summed up along the arc. So an id that very many rows share, with one text or
+with many, fills neither a window nor a task's memory.
+
 With load 1 capacities are exact: counts of shards differ by one at most (law ``rows``). With load above 1 fewer documents
 leave their first shard, and shards hold at most that multiple of the mean.
 
@@ -26,6 +30,9 @@ from pyspark.sql import functions as F
 from palimpsest.plans.scratch import Scratch
 from palimpsest.plans.ship import ship
 
+#: Copies of an equal row that one array gives back.
+CHUNK = 100_000
+
 
 def ring(shards: int, vnodes: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(points in order, shard of each); a shard's points don't depend on how many shards there are."""
@@ -88,13 +95,22 @@ def shard_documents(docs: DataFrame, shards: int = 16, vnodes: int = 128, load:
     key = key.withColumn("pos", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("text_crc32").cast("string")))))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key.schema)
     keys = s.keep(key.mapInArrow(_arcs(points), f"{schema}, arc int"), "keys")
+    part = F.shiftright("text_crc32", 22).alias("part")
+    rows = s.keep(keys.groupBy("arc", "pos", part, "doc_id", "size", "text_crc32").agg(F.count("*").alias("n")), "rows")
+    s.drop(keys)
+    parts_of = s.keep(rows.groupBy("arc", "pos", "part").agg(F.sum("n").alias("m")), "parts")
     counts = np.zeros(len(points), np.int64)
-    for row in keys.groupBy("arc").count().toLocalIterator():
-        counts[row["arc"]] = row["count"]
+    for row in parts_of.groupBy("arc").agg(F.sum("m").alias("m")).toLocalIterator():
+        counts[row["arc"]] = row["m"]
     pieces = place(counts, owner, shards, load)
     parts = spark.createDataFrame(pieces, "arc int, lo long, hi long, shard int, slot0 long") if pieces else spark.createDataFrame([], "arc int, lo long, hi long, shard int, slot0 long")
     homes = F.element_at(F.array(*(F.lit(int(x)) for x in owner)), F.col("arc") + 1) if len(owner) <= 4096 else F.lit(None).cast("int")
-    rank = F.row_number().over(Window.partitionBy("arc").orderBy("pos", "doc_id", "text_crc32", "size")).cast("long") - 1
+    before = F.sum("m").over(Window.partitionBy("arc").orderBy("pos", "part")) - F.col("m")
+    within = F.sum("n").over(Window.partitionBy("arc", "pos", "part").orderBy("text_crc32", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    first = rows.withColumn("within", within).join(parts_of.withColumn("before", before).drop("m"), ["arc", "pos", "part"]).withColumn("first", F.col("before") + F.col("within"))
+    chunk = first.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.lit(CHUNK)))))
+    copy = F.explode(F.sequence(F.col("c") * CHUNK, F.least(F.col("n"), (F.col("c") + 1) * CHUNK) - 1))
+    ranked = chunk.withColumn("i", copy).withColumn("rank", F.col("first") + F.col("i"))
     # The pieces are at most the arcs and one cut for each shard and round: bounded by the parameters, not by the data.
-    out = keys.withColumn("rank", rank).join(F.broadcast(parts), "arc").where("rank >= lo and rank < hi")
+    out = ranked.join(F.broadcast(parts), "arc").where("rank >= lo and rank < hi")
     return out.select("doc_id", "size", "text_crc32", homes.alias("home"), "shard", (F.col("slot0") + F.col("rank") - F.col("lo")).alias("slot"))

@@ -479,3 +479,14 @@ def test_word_hashes_are_those_of_the_words():
         words = [low(bytes(data[a:b]).decode()) for a, b in zip(start, end, strict=True)]
         assert words == [w for t in text for w in WORD.findall(low(t))]
         assert len(set(h.tolist())) == len(set(words))
+
+
+def test_shards_of_an_id_that_many_rows_share(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 7)
+    rows = [(5, "same text")] * 40 + [(5, f"text {i}") for i in range(40)] + [(None, "same text")] * 30 + [(None, None)] * 5 + [(i, "x" * i) for i in range(60)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4, 8).toPandas()
+    assert sorted(zip(out.doc_id.fillna(-1).astype(int), out.text_crc32, strict=True)) == sorted((-1 if i is None else i, zlib.crc32((t or "").encode())) for i, t in rows)
+    for _, x in out.groupby("shard"):
+        assert sorted(x.slot) == list(range(len(x)))
+    count = out.groupby("shard").size()
+    assert count.max() - count.min() <= 1
