@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import WHITE
+from palimpsest.functions.text import WHITE, raw_word_count
+from palimpsest.operators.grid import CONDITIONS
 
 # Source-marker patterns (name, pattern, flags), all matched on the original text. i: any case, m: ^ and $
 # at lines.
@@ -142,3 +143,17 @@ def drop_words(df: DataFrame, key: str, text: str, m: str, seed: int, keep_one:
     # The words are bound once, as a lambda's variable.
     rest = F.element_at(F.transform(F.array(w), drop), 1)
     return df.withColumn("dropped", F.when(F.col(m) <= 0, F.col(text)).otherwise(rest))
+
+
+def condition_texts(df: DataFrame, key: str, text: str, cond: str, seed: int) -> DataFrame:
+    """df with condition_text: the text under a condition, its mask's spans removed or, for a control, as many words dropped at random as the
+    mask that it controls for removes from the same text."""
+    source, _, entities, temporal, control = CONDITIONS[cond]
+    letters = control or {"0": "", "1": "S"}.get(source, source) + "E" * entities + "T" * temporal
+    if not letters:
+        return df.withColumn("condition_text", F.col(text))
+    x = mask(df, text, letters)
+    if not control:
+        return x.withColumn("condition_text", F.col("masked")).drop("spans", "masked")
+    x = x.withColumn("_m", F.coalesce(raw_word_count(text) - raw_word_count("masked"), F.lit(0)).cast("int")).drop("spans", "masked")
+    return drop_words(x, key, text, "_m", seed, keep_one=False).withColumnRenamed("dropped", "condition_text").drop("_m")

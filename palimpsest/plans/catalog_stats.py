@@ -347,35 +347,31 @@ def tfidf_weights(spark, d):
     return w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("most"))
 
 
-@query(f"""WITH {C}, t AS (SELECT DISTINCT dataset, is_fake, doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM c), n AS (SELECT dataset, count(*) FILTER (is_fake = 1) AS n1, count(*) FILTER (is_fake = 0) AS n0 FROM c GROUP BY 1),
-k AS (SELECT dataset, term, count(*) FILTER (is_fake = 1) AS d1, count(*) FILTER (is_fake = 0) AS d0 FROM t GROUP BY 1, 2 HAVING count(*) >= 5), s AS (SELECT dataset, term, round(ln((d1 + 0.5) / (n1 + 1.0)) - ln((d0 + 0.5) / (n0 + 1.0)), 9) AS coefficient FROM k JOIN n USING (dataset)),
-r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY coefficient DESC, term) AS hi, row_number() OVER (PARTITION BY dataset ORDER BY coefficient, term) AS lo FROM s)
-SELECT dataset, 'fake' AS side, hi AS rank, term, coefficient FROM r WHERE hi <= 10 UNION ALL SELECT dataset, 'real', lo, term, coefficient FROM r WHERE lo <= 10""")
+@query()
 def top_tokens(spark, d):
-    return tfidf.top_terms(docs(spark, d), "dataset", "doc_id", "text", "is_fake", 10)
+    """Words and pairs of words with the greatest and the least coefficients of each corpus."""
+    return tfidf.top_terms(docs(spark, d), "dataset", "doc_id", "text", "is_fake").withColumn("coefficient", F.round("coefficient", 6))
 
 
-def _features(spark, d) -> DataFrame:
+def _rated(spark, d) -> DataFrame:
     x = docs(spark, d).join(read(spark, d, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
-    v = tfidf.term_vectors(tfidf.weights(x, "doc_id", "text", features=tfidf.FEATURES), "doc_id")
-    role = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0, "test").otherwise("train")
-    return x.select("doc_id", "dataset", (1 - F.col("y")).cast("double").alias("is_fake"), role.alias("role")).join(v, "doc_id")
+    return x.select("doc_id", "dataset", "text", (1 - F.col("y")).cast("double").alias("is_fake"))
 
 
 @query()
 def lr_cross_eval(spark, d):
     """A model for each corpus, tested on its held-out part and on the other corpora."""
-    return tfidf.cross_grid(_features(spark, d), "dataset", "is_fake", "role")
+    s = Scratch(spark)
+    x = s.keep(_rated(spark, d).withColumn("role", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0, "test").otherwise("train")), "rated")
+    t = s.keep(tfidf.terms(x, "doc_id", "text"), "terms")
+    return reduce(DataFrame.unionByName, (tfidf.cross_cell(x.drop("text"), t, a, scratch=s) for a in "ABC"))
 
 
 @query()
 def grid_run_small(spark, d):
-    """The runner over two seeds: what is not yet done is fitted, and the shards are merged."""
-    x = _features(spark, d)
-    x = Scratch(spark).keep(x, "features")
-    out = None
-    for seed in (1, 2):
-        role = F.when(F.crc32(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")) % 4 == 0, "test").otherwise("train")
-        cells = tfidf.cross_grid(x.withColumn("role", role), "dataset", "is_fake", "role").select(F.lit(seed).alias("seed"), F.lit("C0").alias("cond"), "*")
-        out = cells if out is None else out.unionByName(cells)
-    return grid.keep_last(out.withColumn("ordinal", F.lit(0)), ("seed", "cond", "train", "test"), "ordinal").drop("ordinal")
+    """The runner over two seeds and the conditions C0, S and R_S: a first run leaves off after C0, the second does what is not yet done."""
+    x = Scratch(spark).keep(_rated(spark, d), "rated")
+    first = tfidf.run_grid(x, (1, 2), ("C0",))
+    rest = tfidf.run_grid(x, (1, 2), ("C0", "S", "R_S"), done=first)
+    shards = first.withColumn("ordinal", F.lit(0)).unionByName(rest.withColumn("ordinal", F.lit(1)))
+    return grid.keep_last(shards, ("seed", "cond", "train", "test"), "ordinal").drop("ordinal")
