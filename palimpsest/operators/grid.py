@@ -107,19 +107,34 @@ def summarise(values: DataFrame, by: tuple[str, ...], value: str = "value") -> D
     return m.select(*by, "n", "mean", "sd", (F.col("mean") - half).alias("lo"), (F.col("mean") + half).alias("hi"), "min", "max", same.alias("same_sign"))
 
 
-def signflip(values: DataFrame, by: tuple[str, ...], value: str = "value", drop_zeros: bool = True, most: int = 20) -> DataFrame:
-    """(by, n, p): exact two-sided sign-flip test of a zero mean, over all 2^n signs, n at most ``most``."""
+def signflip(values: DataFrame, by: tuple[str, ...], value: str = "value", drop_zeros: bool = True, most: int = 20, draws: int = 200_000) -> DataFrame:
+    """(by, n, p): two-sided sign-flip test of a zero mean: over all 2^n signs for n up to ``most``, else over ``draws`` random ones by hash."""
     x = values.where(F.col(value).isNotNull() & ((F.col(value) != 0) | F.lit(not drop_zeros)))
     g = x.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("v")).withColumn("n", F.size("v"))
-    g = g.withColumn("n", F.when(F.col("n") <= most, F.col("n")).otherwise(F.raise_error(F.lit("too many values for enumeration")).cast("int")))
-    signs = g.withColumn("mask", F.explode(F.expr("sequence(0, shiftleft(1, n) - 1)")))
-    total = F.aggregate(F.transform("v", lambda a, i: F.when(F.col("mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0, -a).otherwise(a)), F.lit(0.0), lambda s, a: s + a)
+    last = F.when(F.col("n") <= most, F.expr(f"shiftleft(1, least(n, {most})) - 1")).otherwise(draws - 1)
+    signs = g.withColumn("mask", F.explode(F.sequence(F.lit(0), last)))
+    bit = lambda i: F.when(F.col("n") <= most, F.col("mask").bitwiseAND(F.pow(F.lit(2), F.least(i, F.lit(30))).cast("int")) > 0).otherwise(F.xxhash64("mask", i).bitwiseAND(F.lit(1)) > 0)
+    total = F.aggregate(F.transform("v", lambda a, i: F.when(bit(i), -a).otherwise(a)), F.lit(0.0), lambda s, a: s + a)
     obs = F.aggregate("v", F.lit(0.0), lambda s, a: s + a)
     p = signs.groupBy(*by, "n").agg(F.avg((F.abs(total) >= F.abs(obs) - 1e-12).cast("double")).alias("p"))
     none = values.select(*by).distinct().join(p, list(by), "left") if by else p
     return none.select(*by, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("p", F.lit(1.0)).alias("p"))
 
 
+def t_test(summary: DataFrame) -> DataFrame:
+    """A summary (n, mean, sd) with p of the two-sided t test of a zero mean; null for one value or without spread. Summaries are few rows."""
+    p = F.udf(lambda t, n: 2 * (1 - t_cdf(abs(t), n - 1)), "double")
+    ok = (F.col("n") > 1) & (F.col("sd") > 0)
+    return summary.withColumn("p", F.when(ok, p(F.when(ok, F.col("mean") / (F.col("sd") / F.sqrt("n"))).otherwise(0.0), F.when(ok, F.col("n")).otherwise(2).cast("int"))))
+
+
+def said(n: str = "n", mean: str = "mean", lo: str = "lo", hi: str = "hi", same: str = "same_sign", digits: int = 3) -> Column:
+    """'+0.123 [+0.100, +0.150] (4/5)'; without an interval 'NA' in its place, without a value 'NA' alone."""
+    f = f"%+.{digits}f"
+    whole = F.format_string(f"{f} [{f}, {f}] (%d/%d)", mean, lo, hi, same, n)
+    return F.when(F.col(n) == 0, "NA").when(F.col(lo).isNull() | F.isnan(lo), F.format_string(f"{f} [NA, NA] (%d/%d)", mean, same, n)).otherwise(whole)
+
+
 def holm(df: DataFrame, family: tuple[str, ...], p: str = "p", order: str = "label") -> DataFrame:
     """df with p_holm: step-down adjusted within each family; null p are outside of it."""
     fin = df.where(F.col(p).isNotNull())
@@ -140,14 +155,18 @@ def factorial(cells: DataFrame, metric: str) -> DataFrame:
     return tall.groupBy("seed", "term").agg(F.avg("v").alias("effect"))
 
 
-def completeness(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Cells of the full product of each key's values that are missing, and keys that are there more than once. Domains are tiny."""
+def completeness(cells: DataFrame, keys: tuple[str, ...], domains: dict[str, list] | None = None) -> DataFrame:
+    """Cells of the full product of each key's values that are missing, keys that are there more than once, and extra ones. Domains are tiny; where
+    one is given, values that no cell has are missing and cells of other values are extra."""
     grid = None
     for k in keys:
         d = cells.select(k).distinct()
+        if domains and k in domains:
+            d = cells.sparkSession.createDataFrame([(v,) for v in domains[k]], [k]).select(F.col(k).cast(cells.schema[k].dataType).alias(k))
         grid = d if grid is None else grid.crossJoin(F.broadcast(d))  # domains of a design: tens of values
     n = cells.groupBy(*keys).agg(F.count("*").alias("n"))
-    return grid.join(n, list(keys), "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated").otherwise("once").alias("state"))
+    state = F.when(F.col("due").isNull(), "extra").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated").otherwise("once")
+    return grid.withColumn("due", F.lit(True)).join(n, list(keys), "full").select(*keys, F.coalesce("n", F.lit(0)).alias("n"), state.alias("state"))
 
 
 def violations(cells: DataFrame, metric: str = "auc", keys: tuple[str, ...] = ("seed", "cond", "train", "test")) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,22 @@ def kappa(df: DataFrame, by: tuple[str, ...], a: str, b: str) -> DataFrame:
     return g.select(*by, "n", F.col("po").alias("agreement"), F.when(pe < 1, (F.col("po") - pe) / (1 - pe)).alias("kappa"))
 
 
+def annotator_label(c: str) -> Column:
+    """An annotator's word as 0 or 1, whatever its case and surrounding space; anything else is null."""
+    x = F.lower(F.trim(F.col(c).cast("string")))
+    # Words for either class.
+    return F.when(x.isin("1", "fake", "f"), 1).when(x.isin("0", "real", "r"), 0)
+
+
+def agreement(df: DataFrame, by: tuple[str, ...], a: str, b: str, label: str) -> DataFrame:
+    """(by, n, agreement, kappa, consensus, consensus_agreement, consensus_kappa): two annotators' words against one another, and what they agree on
+    against the data set's 0/1 label. Without ``by``, one row for all."""
+    x = df.withColumns({"_a": annotator_label(a), "_b": annotator_label(b)})
+    both = kappa(x, by, "_a", "_b")
+    own = kappa(x.where(F.col("_a") == F.col("_b")), by, "_a", label).select(*by, F.col("n").alias("consensus"), F.col("agreement").alias("consensus_agreement"), F.col("kappa").alias("consensus_kappa"))
+    return both.join(own, list(by), "left") if by else both.crossJoin(own)  # one row each
+
+
 def kappa_interval(df: DataFrame, key: str, a: str, b: str, seed: int, draws: int = 2000) -> DataFrame:
     """2.5th and 97.5th percentile of kappa over resamples; rows are drawn by hash of (seed, resample, position).
 

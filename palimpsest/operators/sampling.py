@@ -67,9 +67,11 @@ def cluster_split(df: DataFrame, by: tuple[str, ...], cluster: str, fraction: fl
 
 
 def temporal_split(df: DataFrame, ts: str, cluster: str, q: float) -> DataFrame:
-    """df with role by a quantile of time; test rows whose cluster has a train row are dropped."""
-    cut = df.agg(F.percentile(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(q)).alias("cut"))
-    x = df.crossJoin(F.broadcast(cut)).withColumn("role", F.when(F.unix_micros(F.col(ts).cast("timestamp")) <= F.col("cut"), "train").otherwise("test")).drop("cut")
+    """df with role by a quantile of time; test rows whose cluster has a train row are dropped. More than a fifth of rows without a time are an error;
+    the others of them are dropped."""
+    lost = F.count_if(F.col(ts).cast("timestamp").isNull()) > 0.2 * F.count("*")
+    cut = df.agg(F.when(lost, F.raise_error(F.lit("more than a fifth of the rows have no time")).cast("double")).otherwise(F.percentile(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(q))).alias("cut"))
+    x = df.where(F.col(ts).cast("timestamp").isNotNull()).crossJoin(F.broadcast(cut)).withColumn("role", F.when(F.unix_micros(F.col(ts).cast("timestamp")) <= F.col("cut"), "train").otherwise("test")).drop("cut")
     train = x.where("role = 'train'").select(cluster).distinct()
     return x.where("role = 'train'").unionByName(x.where("role = 'test'").join(train, cluster, "left_anti"))
 
@@ -106,3 +108,37 @@ def fingerprint(df: DataFrame, by: tuple[str, ...], key: str, label: str, cluste
     part = [F.sum(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).alias(f"p{i}") for i in range(4)]
     x = df.groupBy(*by).agg(F.count("*").alias("rows"), *part)
     return x.select(*by, "rows", F.sha2(F.concat_ws("|", F.col("rows").cast("string"), *(F.col(f"p{i}").cast("string") for i in range(4))), 256).alias("sample_sha256"))
+
+
+def stream_seed(seed: int | str, *keys: str) -> Column:
+    """A seed of 31 bits for a stream of its own: CRC-32 of seed and keys, joined by hyphens."""
+    return F.crc32(F.concat_ws("-", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)).cast("binary")) % F.lit(1 << 31)
+
+
+def manifest(sample: DataFrame, by: tuple[str, ...], key: str, label: str, cluster: str) -> DataFrame:
+    """(by, key, label, cluster, row_sha256): what a drawn sample consists of, to be written next to it and compared later."""
+    h = F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in (key, label, cluster))), 256)
+    return sample.select(*by, key, label, cluster, h.alias("row_sha256"))
+
+
+def verify_manifest(recorded: DataFrame, found: DataFrame, by: tuple[str, ...], key: str, label: str, cluster: str, held_out: DataFrame | None = None) -> DataFrame:
+    """(by, rows, missing, extra, changed, repeated, unbalanced, shared_clusters, ok): a sample against its manifest, whatever the order of rows.
+
+    unbalanced: how far the classes' counts are apart; shared_clusters: clusters that held_out (by, cluster) has too.
+    """
+    now = manifest(found, by, key, label, cluster)
+    left = recorded.groupBy(*by, key).agg(F.count("*").alias("nr"), F.max("row_sha256").alias("hr"))
+    right = now.groupBy(*by, key).agg(F.count("*").alias("nf"), F.max("row_sha256").alias("hf"), F.max(label).alias("y"))
+    x = left.join(right, [*by, key], "full")
+    n = lambda c, name: F.count_if(c).alias(name)
+    out = x.groupBy(*by).agg(n(F.col("nr").isNotNull(), "rows"), n(F.col("nf").isNull(), "missing"), n(F.col("nr").isNull(), "extra"), n(F.col("hr") != F.col("hf"), "changed"), n((F.col("nr") > 1) | (F.col("nf") > 1), "repeated"), F.abs(F.count_if(F.col("y") == 1) - F.count_if(F.col("y") == 0)).alias("unbalanced"))
+    if held_out is None:
+        out = out.withColumn("shared_clusters", F.lit(0).cast("long"))
+    else:
+        shared = now.select(*by, cluster).distinct().join(held_out.select(*by, cluster).distinct(), [*by, cluster], "left_semi").groupBy(*by).agg(F.count("*").alias("shared_clusters"))
+        out = out.join(shared, list(by), "left").fillna(0, ["shared_clusters"])
+    checks = ("missing", "extra", "changed", "repeated", "unbalanced", "shared_clusters")
+    ok = F.lit(True)
+    for c in checks:
+        ok = ok & (F.col(c) == 0)
+    return out.withColumn("ok", ok)

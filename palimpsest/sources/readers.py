@@ -153,3 +153,85 @@ def protocol_guard(spark: SparkSession, path: str, protocol: dict) -> str:
     else:
         spark.createDataFrame([(digest, json.dumps(protocol, sort_keys=True))], "sha256 string, protocol string").coalesce(1).write.json(path)
     return digest
+
+
+def sealed(record: dict) -> dict:
+    """A result record with its checksum, that of its canonical JSON without one."""
+    body = {k: v for k, v in record.items() if k != "sha256"}
+    return {**body, "sha256": canonical_sha256(body)}
+
+
+def check_record(record: dict) -> dict:
+    """A sealed record, or an error if what it holds is not what was sealed."""
+    if "sha256" not in record or sealed(record)["sha256"] != record["sha256"]:
+        raise ValueError("the record's checksum is missing or wrong")
+    return record
+
+
+def freeze(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """Copy the files below source to target, which must not exist, read-only, and write their manifest (path, bytes, sha256; paths relative to target)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    src, dst = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    fs = dst.getFileSystem(conf)
+    if fs.exists(dst):
+        raise FileExistsError(target)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(src.getFileSystem(conf), src, fs, jvm.org.apache.hadoop.fs.Path(f"{target}/files"), False, conf)
+    files = fs.listFiles(jvm.org.apache.hadoop.fs.Path(f"{target}/files"), True)
+    while files.hasNext():
+        fs.setPermission(files.next().getPath(), jvm.org.apache.hadoop.fs.permission.FsPermission("0444"))
+    write_new(_relative(spark, target), f"{target}/manifest")
+    return spark.read.parquet(f"{target}/manifest")
+
+
+def _relative(spark: SparkSession, target: str) -> DataFrame:
+    return file_hashes(spark, f"{target}/files").withColumn("path", F.regexp_extract("path", r"/files/(.*)$", 1))
+
+
+def verify_frozen(spark: SparkSession, target: str) -> DataFrame:
+    """(path, state) of frozen files that are missing, extra or changed; none if all is as it was."""
+    old, new = spark.read.parquet(f"{target}/manifest"), _relative(spark, target).select("path", F.col("sha256").alias("now"))
+    state = F.when(F.col("now").isNull(), "missing").when(F.col("sha256").isNull(), "extra").when(F.col("sha256") != F.col("now"), "changed")
+    return old.join(new, "path", "full").select("path", state.alias("state")).where("state is not null")
+
+
+def bundle(files: dict[str, bytes]) -> bytes:
+    """A ZIP of small files that depends on their names and contents alone, with SHA256SUMS among them."""
+    if "SHA256SUMS" in files:
+        raise ValueError("SHA256SUMS is written by the bundle")
+    sums = "".join(f"{hashlib.sha256(files[n]).hexdigest()}  {n}\n" for n in sorted(files)).encode()
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in sorted({**files, "SHA256SUMS": sums}.items()):
+            info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+            info.compress_type, info.external_attr, info.create_system = zipfile.ZIP_DEFLATED, 0o644 << 16, 3
+            z.writestr(info, data)
+    return out.getvalue()
+
+
+def read_csv_in_zip(spark: SparkSession, path: str, member: str, encodings: tuple[str, ...] = ("utf-8-sig", "latin-1")) -> DataFrame:
+    """Rows of a CSV inside ZIP files, columns as strings and empty fields as null; the first encoding that fits is taken and lines that don't parse are left out.
+
+    An archive is one task, as its members cannot be split.
+    """
+
+    def parse(data: bytes) -> pd.DataFrame:
+        for e in encodings:
+            try:
+                return pd.read_csv(io.StringIO(data.decode(e)), dtype=str, on_bad_lines="skip")
+            except UnicodeDecodeError:
+                continue
+        raise ValueError(f"no encoding fits {member}")
+
+    files = read_zip(spark, path).where(F.col("member") == member).select("content")
+    first = files.select(F.substring("content", 1, 1 << 16)).first()
+    if first is None:
+        raise FileNotFoundError(f"{member} is not in {path}")
+    columns = list(parse(bytes(first[0]).rsplit(b"\n", 1)[0] + b"\n").columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data in batch["content"]:
+                x = parse(data).reindex(columns=columns).astype(object)
+                yield x.where(x.notna(), None)
+
+    return files.mapInPandas(run, T.StructType([T.StructField(c, T.StringType()) for c in columns]))

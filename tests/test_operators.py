@@ -1,7 +1,10 @@
 """Literal edge cases and invariants of the library's operators."""
 
+import hashlib
+import io
 import json
 import re
+import zlib
 import zipfile
 
 import pytest
@@ -126,17 +129,117 @@ def test_metrics_with_ties(spark):
     assert metrics.kappa(same, (), "a", "b").first().kappa is None
 
 
-def test_models_have_a_column_for_each_term(spark, sf):
+def test_vocabulary_comes_from_the_training_texts(spark):
     from palimpsest.operators import tfidf
-    from palimpsest.plans import catalog_stats
 
     rows = [(1, "aa bb cc"), (2, "aa bb dd"), (3, "bb cc"), (4, "dd")]
-    w = tfidf.weights(spark.createDataFrame(rows, "id int, t string"), "id", "t")
+    df = spark.createDataFrame(rows, "id int, t string")
+    w, t = tfidf.weights(df, "id", "t"), tfidf.terms(df, "id", "t")
     want = {i: sorted(round(r.weight, 9) for r in w.collect() if r.id == i) for i in range(1, 5)}
-    got = {r.id: r.features for r in tfidf.term_vectors(w, "id").collect()}
+    voc = tfidf.fit(t)
+    got = {r.doc: r.features for r in tfidf.transform(t, voc).collect()}
     assert {i: sorted(round(float(x), 9) for x in v.values) for i, v in got.items()} == want
     assert all(v.size == w.select("term").distinct().count() for v in got.values())
-    assert catalog_stats._features(spark, sf).first().features.size > 1 << 12  # words and pairs of words, not hashed into 512
+    few = tfidf.fit(t.where("doc <= 2"), most_share=1.0)
+    assert {r.term for r in few.collect()} == {"aa", "bb", "aa bb"}
+    assert {r.doc for r in tfidf.transform(t, few).collect()} == {1, 2, 3}
+
+
+def test_grid_runner_resumes_and_tokens_follow_the_label(spark):
+    from palimpsest.operators import tfidf
+
+    rows = [(100 * c + i, "AB"[c], f"https://x.y/{i} " + ("alpha beta" if i % 2 else "gamma delta") + f" common w{i % 5} " + "pad " * (i % 9), float(i % 2)) for c in range(2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id int, dataset string, text string, is_fake double").persist()
+    first = tfidf.run_grid(df, (1,), ("C0",), n=20, bins=2).persist()
+    cells = first.collect()
+    assert sorted((r.train, r.test, r.kind) for r in cells) == [("A", "A", "in"), ("A", "B", "cross"), ("B", "A", "cross"), ("B", "B", "in")]
+    assert all(r.auc == 1.0 and r.n_train == 40 for r in cells)
+    rest = tfidf.run_grid(df, (1,), ("C0", "R_S", "L"), done=first.where("not (train = 'B' and test = 'A')"), n=20, bins=2).collect()
+    assert {(r.cond, r.train) for r in rest} == {("C0", "B"), ("R_S", "A"), ("R_S", "B"), ("L", "A"), ("L", "B")}
+    assert tfidf.run_grid(df, (1,), ("C0",), done=first).count() == 0
+    top = tfidf.top_terms(df, "dataset", "doc_id", "text", "is_fake", k=3, most_share=0.5).collect()
+    assert {r.term for r in top if r.side == "fake"} <= {"alpha", "beta", "alpha beta", "beta common"} and {r.term for r in top if r.side == "real"} <= {"gamma", "delta", "gamma delta", "delta common"}
+
+
+def test_condition_texts(spark):
+    df = spark.createDataFrame([(1, "see https://a.b/c now (Reuters) on Monday please"), (2, "plain words only")], "id int, t string")
+    of = lambda c: [r.condition_text for r in masks.condition_texts(df, "id", "t", c, 3).orderBy("id").collect()]
+    assert of("C0") == of("L") == [r.t for r in df.orderBy("id").collect()]
+    s, r = of("S"), of("R_S")
+    assert s == ["see now on Monday please", "plain words only"] and len(r[0].split()) == len(s[0].split()) and r[1] == "plain words only"
+    assert "Monday" not in of("T")[0] and "Reuters" not in of("S_W")[0] and "https" in of("S_W")[0]
+
+
+def test_agreement_seeds_and_summaries(spark):
+    df = spark.createDataFrame([(" Fake", "f", 1), ("real", "R", 0), ("1", "0", 1), ("maybe", "1", 1), ("0", "real", 1), (None, "0", 0)], "a string, b string, y int")
+    r = metrics.agreement(df, (), "a", "b", "y").first()
+    assert (r.n, r.agreement, r.consensus) == (4, 0.75, 3) and r.consensus_agreement == pytest.approx(2 / 3) and r.kappa == pytest.approx(0.5)
+    got = spark.createDataFrame([("d1", "R")], "doc string, r string").select(sampling.stream_seed(42, "doc", "r").alias("s")).first().s
+    assert got == zlib.crc32(b"42-d1-R") % 2**31
+    v = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3, 4, 6)] + [("b", 2.0)], "k string, value double")
+    out = {r.k: r for r in grid.t_test(grid.summarise(v, ("k",))).withColumn("said", grid.said()).collect()}
+    assert out["a"].p == pytest.approx(0.0206, abs=2e-4) and out["b"].p is None
+    assert out["b"].said == "+2.000 [NA, NA] (1/1)" and out["a"].said.startswith("+3.200 [+0.") and out["a"].said.endswith("(5/5)")
+
+
+def test_signflips_beyond_enumeration(spark):
+    import random
+
+    rng = random.Random(1)
+    v = [rng.gauss(0.5, 1) for _ in range(24)]
+    df = spark.createDataFrame([(x,) for x in v], "value double").withColumn("k", F.lit("x"))
+    got = grid.signflip(df, ("k",)).first()
+    draws = [abs(sum(x * rng.choice((-1, 1)) for x in v)) >= abs(sum(v)) for _ in range(40_000)]
+    assert got.n == 24 and got.p == pytest.approx(sum(draws) / len(draws), abs=0.01)
+    exact = grid.signflip(df.limit(12), ("k",)).first().p
+    assert grid.signflip(df.limit(12), ("k",), most=5).first().p == pytest.approx(exact, abs=0.005)
+
+
+def test_grid_domains(spark):
+    cells = spark.createDataFrame([(1, "C0"), (1, "S"), (9, "C0")], "seed int, cond string")
+    got = {(r.seed, r.cond): r.state for r in grid.completeness(cells, ("seed", "cond"), {"seed": [1, 2]}).collect()}
+    assert got == {(1, "C0"): "once", (1, "S"): "once", (2, "C0"): "missing", (2, "S"): "missing", (9, "C0"): "extra"}
+
+
+def test_manifest_and_time_split(spark):
+    rows = [("A", i, i % 2, f"c{i // 2}") for i in range(10)]
+    df = spark.createDataFrame(rows, "dataset string, id int, y int, cluster string")
+    args = (("dataset",), "id", "y", "cluster")
+    old = sampling.manifest(df, *args)
+    assert sampling.verify_manifest(old, df.orderBy(F.desc("id")), *args).first().ok
+    bad = df.where("id <> 3").withColumn("y", F.when(F.col("id") == 5, 0).otherwise(F.col("y"))).unionByName(spark.createDataFrame([("A", 77, 1, "c9")], df.schema))
+    r = sampling.verify_manifest(old, bad, *args, held_out=spark.createDataFrame([("A", "c9"), ("A", "c1")], "dataset string, cluster string")).first()
+    assert (r.rows, r.missing, r.extra, r.changed, r.unbalanced, r.shared_clusters, r.ok) == (10, 1, 1, 1, 2, 2, False)
+    late = spark.createDataFrame([("x", 1), (None, 2), ("2020-01-01", 3)], "ts string, c int")
+    with pytest.raises(Exception, match="no time|CAST"):
+        sampling.temporal_split(late.withColumn("ts", F.expr("try_cast(ts as timestamp)")), "ts", "c", 0.8).collect()
+
+
+def test_sealed_records_frozen_files_and_bundles(spark, tmp_path):
+    r = readers.sealed({"b": 1, "a": [1.5, "é"]})
+    assert readers.check_record(r) == r
+    with pytest.raises(ValueError):
+        readers.check_record({**r, "b": 2})
+    src, dst = tmp_path / "in", tmp_path / "out"
+    (src / "sub").mkdir(parents=True)
+    (src / "a.txt").write_text("one")
+    (src / "sub" / "b.txt").write_text("two")
+    got = {x.path: x.sha256 for x in readers.freeze(spark, str(src), str(dst)).collect()}
+    assert got == {n: hashlib.sha256(t).hexdigest() for n, t in (("a.txt", b"one"), ("sub/b.txt", b"two"))}
+    assert readers.verify_frozen(spark, str(dst)).count() == 0
+    assert (dst / "files" / "a.txt").stat().st_mode & 0o777 == 0o444
+    with pytest.raises(FileExistsError):
+        readers.freeze(spark, str(src), str(dst))
+    (dst / "files" / "sub" / "b.txt").unlink()
+    (dst / "files" / "c.txt").write_text("new")
+    assert {(x.path, x.state) for x in readers.verify_frozen(spark, str(dst)).collect()} == {("sub/b.txt", "missing"), ("c.txt", "extra")}
+    one = readers.bundle({"b": b"2", "a": b"1"})
+    assert one == readers.bundle({"a": b"1", "b": b"2"})
+    with zipfile.ZipFile(io.BytesIO(one)) as z:
+        assert z.namelist() == ["SHA256SUMS", "a", "b"] and z.read("SHA256SUMS").decode().splitlines()[0] == hashlib.sha256(b"1").hexdigest() + "  a"
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("d/t.csv", 'k,v\n1,caf\xe9\n2,"a\nb"\n3,\n'.encode("latin-1"))
+    assert sorted((x.k, x.v) for x in readers.read_csv_in_zip(spark, str(tmp_path / "x.zip"), "d/t.csv").collect() if x.v) == [("1", "café"), ("2", "a\nb")]
 
 
 def test_sources(spark, tmp_path):
