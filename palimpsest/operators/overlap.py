@@ -17,6 +17,8 @@ from palimpsest.plans.ship import ship
 
 #: Similarity and shingle length of the primary and of the sensitivity tier; containment and the least set it counts for.
 PRIMARY, PRIMARY_K, SENSITIVE, SENSITIVE_K, CONTAINED, LEAST_SET = 0.8, 5, 0.5, 3, 0.9, 50
+#: Reasons to leave a document out of a cleaned universe, the first that holds is given.
+REASONS = ("degenerate", "exact", "prefix300", "near_primary", "near_sens")
 #: Rows and shingles of a block in which members of LSH buckets are verified.
 BLOCK_ROWS, BLOCK_WEIGHT = 256, 200_000
 
@@ -124,6 +126,35 @@ def first_reason(candidates: DataFrame, doc: str, reason: str, priority: dict[st
     return candidates.groupBy(doc).agg(F.min_by(reason, rank).alias("reason"))
 
 
+def drop_flagged(df: DataFrame, doc: str, norm: str, dataset: str, least_words: int = 20, prefix: int = 300, scratch: Scratch | None = None) -> DataFrame:
+    """(doc, reason): documents to leave out so that no two datasets overlap, with the first reason in order of REASONS.
+
+    A text of fewer words is degenerate. Of two documents of different datasets that are equal, begin alike or are
+    near-duplicates in either tier, the one of the larger dataset goes, of equally large ones the one of the smaller id. Equal texts
+    are judged by their group's datasets (one entry for each), never by pairs. A null text is degenerate; a row without a
+    dataset meets no other.
+    """
+    s = scratch or Scratch(df.sparkSession)
+    sizes = df.groupBy(F.col(dataset).alias("ds")).agg(F.count("*").alias("size"))
+    x = df.select(F.col(doc).alias("doc"), F.col(dataset).alias("ds"), F.col(norm).alias("ns")).join(sizes, "ds", "left")
+    x = s.keep(x.select("doc", "ds", "size", "ns"), "sized")
+    found = [x.where(F.coalesce(F.size(T.words("ns")), F.lit(0)) < least_words).select("doc", F.lit("degenerate").alias("reason"))]
+
+    x = x.where("ds is not null")
+    keys = F.array(*(F.struct(F.lit(r).alias("reason"), F.when(ok, F.md5(of)).alias("h")) for r, ok, of in (("exact", F.col("ns") != "", F.col("ns")), ("prefix300", F.length("ns") >= prefix, F.substring("ns", 1, prefix)))))
+    tall = x.select("doc", "ds", "size", F.inline(keys)).where("h is not null")
+    groups = tall.groupBy("reason", "h", "ds", "size").agg(F.max("doc").alias("last")).groupBy("reason", "h").agg(F.collect_list(F.struct("ds", "size", "last")).alias("m")).where("size(m) > 1")
+    goes = F.exists("m", lambda m: (m["ds"] != F.col("ds")) & ((m["size"] < F.col("size")) | ((m["size"] == F.col("size")) & (m["last"] > F.col("doc")))))
+    found.append(tall.join(groups, ["reason", "h"]).where(goes).select("doc", "reason"))
+
+    side = [x.select(F.col("doc").alias(c), F.col("ds").alias(f"d{c}"), F.col("size").alias(f"s{c}")) for c in "ij"]
+    for reason, k, threshold in (("near_primary", PRIMARY_K, PRIMARY), ("near_sens", SENSITIVE_K, SENSITIVE)):
+        p = near_pairs(x, "doc", "ns", k, threshold, s).select("i", "j").join(side[0], "i").join(side[1], "j").where("di <> dj")
+        found.append(p.select(F.when(F.col("si") >= F.col("sj"), F.col("i")).otherwise(F.col("j")).alias("doc"), F.lit(reason).alias("reason")))
+    every = reduce(DataFrame.unionByName, found)
+    return first_reason(every, "doc", "reason", {r: n for n, r in enumerate(REASONS)}).withColumnRenamed("doc", doc)
+
+
 def contamination(corpus: DataFrame, doc: str, norm: str, targets: DataFrame, target: str, target_norm: str, k: int = PRIMARY_K, threshold: float = PRIMARY, least_set: int = LEAST_SET, small: int = 2_000_000) -> DataFrame:
     """(target, doc, jaccard, containment): an exhaustive match of few targets against a large corpus by posting lists.
 

@@ -403,6 +403,19 @@ def flag_reasons(spark, d):
     return overlap.first_reason(u, "doc_id", "evidence", {"degenerate": 0, "exact": 1, "prefix300": 2})
 
 
+_ORDER = " ".join(f"WHEN '{r}' THEN {n}" for n, r in enumerate(overlap.REASONS))
+
+
+@query(f"""WITH {N}, {near_sql('p', 'n', 5, 0.8)}, {near_sql('q', 'n', 3, 0.5)}, z AS (SELECT dataset, count(*) AS size FROM n GROUP BY 1), m AS (SELECT doc_id, dataset, size, ns FROM n JOIN z USING (dataset)),
+e AS (SELECT a.doc_id AS i, b.doc_id AS j, 'exact' AS reason FROM m a JOIN m b ON a.ns = b.ns AND a.doc_id < b.doc_id WHERE a.ns <> ''
+  UNION ALL SELECT a.doc_id, b.doc_id, 'prefix300' FROM m a JOIN m b ON substr(a.ns, 1, 300) = substr(b.ns, 1, 300) AND a.doc_id < b.doc_id WHERE length(a.ns) >= 300 AND length(b.ns) >= 300
+  UNION ALL SELECT i, j, 'near_primary' FROM p UNION ALL SELECT i, j, 'near_sens' FROM q),
+f AS (SELECT CASE WHEN a.size >= b.size THEN i ELSE j END AS doc_id, reason FROM e JOIN m a ON a.doc_id = i JOIN m b ON b.doc_id = j WHERE a.dataset <> b.dataset UNION ALL SELECT doc_id, 'degenerate' FROM n WHERE n_words < 20)
+SELECT doc_id, arg_min(reason, CASE reason {_ORDER} END) AS reason FROM f GROUP BY doc_id""")
+def drop_flagged(spark, d):
+    return overlap.drop_flagged(normed(spark, d), "doc_id", "ns", "dataset")
+
+
 @query(f"""WITH {H}, g AS (SELECT *, min(is_fake) OVER w AS lo, max(is_fake) OVER w AS hi, row_number() OVER (PARTITION BY dataset, h_text_light ORDER BY doc_id) AS r FROM h WHERE n_words >= 20 WINDOW w AS (PARTITION BY dataset, h_text_light))
 SELECT doc_id, dataset FROM g WHERE lo = hi AND r = 1""")
 def exact_dedup(spark, d):

@@ -47,6 +47,20 @@ def test_near_pairs_by_containment_only(spark):
     assert (1, 3) in {(r.i, r.j) for r in overlap.near_pairs(df, "id", "t", views=("full",), least_set=0).collect()}
 
 
+def test_drop_flagged_takes_the_larger_datasets_document(spark):
+    def words(tag, n=30):
+        return " ".join(f"{tag}{i}" for i in range(n))
+
+    near = words("n").split()
+    rows = [(1, "A", words("e")), (2, "B", words("e")), (3, "A", words("p", 120)), (4, "C", words("p", 120) + " tail of its own that is much longer " + words("t", 900))]
+    rows += [(5, "A", " ".join(near)), (6, "B", " ".join(near[:-1] + ["other"])), (7, "A", words("s")), (8, "C", " ".join(words("s").split()[:-7]) + " " + words("z", 7))]
+    rows += [(9, "B", "too few words"), (10, "A", None), (11, "A", words("k")), (12, "A", words("k")), (13, None, words("e")), (14, "B", words("tie")), (15, "C", words("tie")), (16, "C", words("alone"))]
+    df = spark.createDataFrame(rows, "id long, ds string, ns string")  # A holds 7, B and C 4 each
+    got = {r.id: r.reason for r in overlap.drop_flagged(df, "id", "ns", "ds").collect()}
+    assert got == {1: "exact", 3: "prefix300", 5: "near_primary", 7: "near_sens", 9: "degenerate", 10: "degenerate", 14: "exact"}
+    assert overlap.drop_flagged(df.limit(0), "id", "ns", "ds").count() == 0
+
+
 def test_lsh_pairs_are_all_near_pairs(spark):
     w = [f"w{i}" for i in range(300)]
     edit = lambda v, *at: " ".join("x" + x if i in at else x for i, x in enumerate(v))
