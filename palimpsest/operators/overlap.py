@@ -169,6 +169,43 @@ def contamination(corpus: DataFrame, doc: str, norm: str, targets: DataFrame, ta
     return p.select(F.col("t").alias(target), F.col("doc").alias(doc), (F.col("both") / (F.col("n") + F.col("nt") - F.col("both"))).alias("jaccard"), c.alias("containment")).where((F.col("jaccard") >= threshold) | (F.col("containment") >= CONTAINED))
 
 
+def evidence(corpus: DataFrame, doc: str, targets: DataFrame, target: str, fields: dict[str, tuple[str, str]], prefix: int = 300, least_set: int = LEAST_SET, small: int = 2_000_000) -> DataFrame:
+    """(target, doc, field, method, jaccard, containment): every kind of evidence that a document holds a target.
+
+    fields: of each field the corpus's column and the targets'. Methods are equal texts after either normalisation, equal beginnings, and
+    both near-duplicate tiers over whole texts and over first words; equality shows 1 and 1. All tiers, views and fields of a document meet
+    the targets' postings in one join, as field and method go into the shingles' hashes; the postings are broadcast only if
+    counted to be few. A null or blank text meets nothing.
+    """
+    tiers = {"primary": (PRIMARY_K, PRIMARY), "sensitivity": (SENSITIVE_K, SENSITIVE)}
+
+    def normed(df: DataFrame, key: str, side: int) -> DataFrame:
+        texts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(c[side]).alias("text")) for f, c in fields.items()))
+        return df.select(F.col(key).alias("id"), F.inline(texts)).select("id", "field", T.norm_light("text").alias("light"), T.norm_strip("text").alias("strip"))
+
+    def equal(x: DataFrame) -> DataFrame:
+        kinds = (("exact_light", F.col("light") != "", F.col("light")), ("exact_strip", F.col("strip") != "", F.col("strip")), (f"prefix{prefix}", F.length("strip") >= prefix, F.substring("strip", 1, prefix)))
+        return x.select("id", "field", F.inline(F.array(*(F.struct(F.lit(m).alias("method"), F.when(ok, F.md5(of)).alias("h")) for m, ok, of in kinds)))).where("h is not null")
+
+    def posts(x: DataFrame) -> DataFrame:
+        cuts = {"full": F.col("w"), f"head{T.HEAD_WORDS}": F.slice("w", 1, T.HEAD_WORDS)}
+        sets = F.array(*(F.struct(F.lit(f"{tier}_{view}").alias("method"), T.shingles(w, k).alias("s")) for tier, (k, _) in tiers.items() for view, w in cuts.items()))
+        x = x.where("strip is not null").select("id", "field", T.words("strip").alias("w")).select("id", "field", F.inline(sets))
+        return x.select("id", "field", "method", F.size("s").alias("n"), F.explode("s").alias("sh")).withColumn("sh", F.xxhash64("field", "method", "sh"))
+
+    ours, theirs = normed(corpus, doc, 0), normed(targets, target, 1)
+    one = F.lit(1.0)
+    same = equal(ours).join(equal(theirs).withColumnRenamed("id", "t"), ["field", "method", "h"]).select("t", "id", "field", "method", one.alias("jaccard"), one.alias("containment"))
+    post = posts(theirs).select(F.col("id").alias("t"), "sh", F.col("n").alias("nt"))
+    few = post.limit(small + 1).count() <= small
+    p = posts(ours).join(F.broadcast(post) if few else post, "sh").groupBy("t", "id", "field", "method", "n", "nt").agg(F.count("*").alias("both"))
+    low = F.least("n", "nt")
+    p = p.withColumn("jaccard", F.col("both") / (F.col("n") + F.col("nt") - F.col("both"))).withColumn("containment", F.col("both") / low)
+    least = F.when(F.startswith("method", F.lit("primary")), F.lit(PRIMARY)).otherwise(F.lit(SENSITIVE))
+    near = p.where((F.col("jaccard") >= least) | ((F.col("containment") >= CONTAINED) & (low >= least_set))).select("t", "id", "field", "method", "jaccard", "containment")
+    return same.unionByName(near).withColumnsRenamed({"t": target, "id": doc})
+
+
 def minhash(df: DataFrame, doc: str, norm: str, k: int = PRIMARY_K, perms: int = 128) -> DataFrame:
     """(doc, signature): for each of ``perms`` seeds the least hash of the document's shingles; null without shingles."""
     x = df.select(F.col(doc).alias("doc"), F.transform(T.shingles(T.words(norm), k), lambda s: F.xxhash64(s)).alias("s"))

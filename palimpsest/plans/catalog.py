@@ -353,6 +353,29 @@ def target_contamination(spark, d):
     return overlap.contamination(normed(spark, d), "doc_id", "ns", items, "item_id", "ns", least_set=0).select("item_id", "doc_id", *r9("jaccard", "containment"))
 
 
+def evidence_sql() -> str:
+    """Shingle tables of both sides for each field, tier and view, and the rows that each yields; then equal texts and beginnings."""
+    tables, rows = [], []
+    for field, src in (("body", "eb"), ("title_body", "et")):
+        for tier, k, thr in (("primary", 5, 0.8), ("sensitivity", 3, 0.5)):
+            for view in ("full", "head100"):
+                x = f"{src}_{tier}_{view}"
+                tables += [f"{x}x AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ({shingle_sql(src, 'doc_id', 'ns', k, view != 'full')}))", f"{x}y AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM ({shingle_sql('ei', 'item_id', 'ns', k, view != 'full')}))"]
+                tables += [f"{x} AS (SELECT item_id, doc_id, count(*) AS b, x.n AS n, y.n AS m FROM {x}x x JOIN {x}y y USING (sh) GROUP BY ALL)"]
+                rows += [f"SELECT item_id, doc_id, '{field}' AS field, '{tier}_{view}' AS method, round(b / (n + m - b), 9) AS jaccard, round(b / least(n, m), 9) AS containment FROM {x} WHERE b / (n + m - b) >= {thr} OR b / least(n, m) >= 0.9"]
+        for method, a in (("exact_light", "nl"), ("exact_strip", "ns")):
+            rows += [f"SELECT item_id, doc_id, '{field}', '{method}', 1.0::DOUBLE, 1.0::DOUBLE FROM {src} x JOIN ei y ON x.{a} = y.{a} WHERE x.{a} <> ''"]
+        rows += [f"SELECT item_id, doc_id, '{field}', 'prefix300', 1.0::DOUBLE, 1.0::DOUBLE FROM {src} x JOIN ei y ON substr(x.ns, 1, 300) = substr(y.ns, 1, 300) WHERE length(x.ns) >= 300 AND length(y.ns) >= 300"]
+    views = [f"{n} AS (SELECT {k}, {norm(c)} AS nl, {norm(strip(c))} AS ns FROM {src})" for n, k, c, src in (("eb", "doc_id", "body", "c"), ("et", "doc_id", "text", "c"), ("ei", "item_id", "text", "benchmark"))]
+    return f"WITH {C}, {', '.join(views + tables)} {' UNION ALL '.join(rows)}"
+
+
+@query(evidence_sql())
+def contamination_evidence(spark, d):
+    x = overlap.evidence(docs(spark, d), "doc_id", read(spark, d, "benchmark"), "item_id", {"body": ("body", "text"), "title_body": ("text", "text")}, least_set=0)
+    return x.select("item_id", "doc_id", "field", "method", *r9("jaccard", "containment"))
+
+
 # Exact overlap -------------------------------------------------------------------------------------------------------
 _TALL = "t AS (" + " UNION ALL ".join(f"SELECT doc_id, dataset, is_fake, '{h}' AS evidence, {h} AS h FROM h" for h in corpus.HASHES) + ")"
 _PAIRS = "x AS (SELECT a.dataset || '~' || b.dataset AS pair, a.evidence, a.doc_id AS i, b.doc_id AS j, a.is_fake <> b.is_fake AS c FROM t a JOIN t b ON a.evidence = b.evidence AND a.h = b.h AND a.dataset < b.dataset)"

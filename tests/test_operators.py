@@ -61,6 +61,23 @@ def test_drop_flagged_takes_the_larger_datasets_document(spark):
     assert overlap.drop_flagged(df.limit(0), "id", "ns", "ds").count() == 0
 
 
+def test_evidence_of_each_kind(spark):
+    long = " ".join(f"w{i}" for i in range(130))
+    docs = [(1, "Title", long), (2, "T", long.upper() + " @tag"), (3, "T", long + " and a tail " + " ".join(f"x{i}" for i in range(400))), (4, "", None), (5, "T", "nothing of it"), (6, "", "")]
+    x = spark.createDataFrame(docs, "d long, title string, body string").withColumn("both", F.concat_ws(" ", "title", "body"))
+    items = spark.createDataFrame([(70, long), (71, ""), (72, None)], "t long, text string")
+    got = {}
+    for r in overlap.evidence(x, "d", items, "t", {"body": ("body", "text"), "title_body": ("both", "text")}).collect():
+        assert r.t == 70 and 0 < r.jaccard <= 1 and 0 < r.containment <= 1
+        got.setdefault((r.d, r.field), set()).add(r.method)
+    near = {"primary_full", "primary_head100", "sensitivity_full", "sensitivity_head100"}
+    assert got[1, "body"] == near | {"exact_light", "exact_strip", "prefix300"} and got[1, "title_body"] == near
+    assert got[2, "body"] == near | {"exact_strip", "prefix300"} and got[2, "title_body"] == near
+    assert got[3, "body"] == near | {"prefix300"} and got[3, "title_body"] == near
+    assert {d for d, _ in got} == {1, 2, 3}
+    assert overlap.evidence(x.limit(0), "d", items, "t", {"body": ("body", "text")}).count() == 0
+
+
 def test_lsh_pairs_are_all_near_pairs(spark):
     w = [f"w{i}" for i in range(300)]
     edit = lambda v, *at: " ".join("x" + x if i in at else x for i, x in enumerate(v))
