@@ -145,15 +145,30 @@ def drop_words(df: DataFrame, key: str, text: str, m: str, seed: int, keep_one:
     return df.withColumn("dropped", F.when(F.col(m) <= 0, F.col(text)).otherwise(rest))
 
 
+def letters(cond: str) -> tuple[str, bool]:
+    """The mask's letters of a condition, and whether it is the mask's random control."""
+    source, _, entities, temporal, control = CONDITIONS[cond]
+    return control or {"0": "", "1": "S"}.get(source, source) + "E" * entities + "T" * temporal, bool(control)
+
+
+def masked_texts(df: DataFrame, text: str, of: str) -> DataFrame:
+    """df with masked (null where the text stays as it is) and _m, how many words the mask removes."""
+    x = mask(df, text, of).drop("spans")
+    m = F.coalesce(raw_word_count(text) - raw_word_count("masked"), F.lit(0)).cast("int")
+    return x.withColumn("_m", m).withColumn("masked", F.when(F.col("masked") != F.col(text), F.col("masked")))
+
+
+def condition_of(df: DataFrame, key: str, text: str, seed: int | None) -> DataFrame:
+    """df of masked_texts with condition_text: the masked text, or with a seed as many words dropped at random as the mask removes."""
+    if seed is None:
+        return df.withColumn("condition_text", F.coalesce("masked", text))
+    return drop_words(df, key, text, "_m", seed, keep_one=False).withColumnRenamed("dropped", "condition_text")
+
+
 def condition_texts(df: DataFrame, key: str, text: str, cond: str, seed: int) -> DataFrame:
     """df with condition_text: the text under a condition, its mask's spans removed or, for a control, as many words dropped at random as the
     mask that it controls for removes from the same text."""
-    source, _, entities, temporal, control = CONDITIONS[cond]
-    letters = control or {"0": "", "1": "S"}.get(source, source) + "E" * entities + "T" * temporal
-    if not letters:
+    of, control = letters(cond)
+    if not of:
         return df.withColumn("condition_text", F.col(text))
-    x = mask(df, text, letters)
-    if not control:
-        return x.withColumn("condition_text", F.col("masked")).drop("spans", "masked")
-    x = x.withColumn("_m", F.coalesce(raw_word_count(text) - raw_word_count("masked"), F.lit(0)).cast("int")).drop("spans", "masked")
-    return drop_words(x, key, text, "_m", seed, keep_one=False).withColumnRenamed("dropped", "condition_text").drop("_m")
+    return condition_of(masked_texts(df, text, of), key, text, seed if control else None).drop("masked", "_m")

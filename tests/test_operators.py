@@ -193,6 +193,44 @@ def test_grid_runner_resumes_and_tokens_follow_the_label(spark):
     assert {r.term for r in top if r.side == "fake"} <= {"alpha", "beta", "alpha beta", "beta common"} and {r.term for r in top if r.side == "real"} <= {"gamma", "delta", "gamma delta", "delta common"}
 
 
+def _least(x, y, size):
+    """The coefficients (constant last) of least |w|^2 / 2 + log loss by plain Newton steps over a dense matrix."""
+    w = np.zeros(size + 1)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - np.linalg.solve(np.eye(size + 1) + (x.T * (p * (1 - p))) @ x, w + x.T @ (p - y))
+    return w
+
+
+def _labelled_texts(spark):
+    # Three ones in four are of class 0, so that the constant counts.
+    rows = [(100 * c + i, "AB"[c], ("alpha beta" if i % 4 == 0 else "gamma delta") + f" common w{i % 5} x{i % 7} " + "pad " * (i % 9), float(i % 4 == 0)) for c in range(2) for i in range(60)]
+    return spark.createDataFrame(rows, "doc_id int, dataset string, text string, is_fake double")
+
+
+def test_models_of_one_task_and_of_all_are_the_same(spark):
+    from palimpsest.operators import tfidf
+    from palimpsest.plans.scratch import Scratch
+
+    df = _labelled_texts(spark)
+    far = tfidf.fit_far(df, "dataset", "text", "is_fake", Scratch(spark), features=30)
+    here = {k: m for (_, k), m in tfidf.fit_here(df.withColumn("seed", F.lit(1)), "seed", "dataset", "text", "is_fake", features=30).items()}
+    assert sorted(far) == sorted(here) == ["A", "B"]
+    own = df.where("dataset = 'A'")
+    voc = tfidf.fit(tfidf.terms(own, "doc_id", "text"))
+    dense = {r.doc: r.features.toArray() for r in tfidf.transform(tfidf.terms(own, "doc_id", "text"), voc).collect()}
+    rows = own.orderBy("doc_id").collect()
+    want = _least(np.array([[*dense[r.doc_id], 1.0] for r in rows]), np.array([r.is_fake for r in rows]), voc.count())
+    whole = tfidf.fit_far(own, "dataset", "text", "is_fake", Scratch(spark))["A"]
+    assert np.allclose(sorted(whole.coef), sorted(want[:-1]), atol=5e-3) and abs(whole.bias - want[-1]) < 5e-3 and want[-1] < -0.1
+    for k in far:
+        assert len(far[k].terms) == 30 and (far[k].terms == here[k].terms).all() and np.allclose(far[k].idf, here[k].idf) and far[k].n == here[k].n == 60
+        assert np.allclose(far[k].coef, here[k].coef, atol=5e-3) and abs(far[k].bias - here[k].bias) < 5e-3
+    x, _ = tfidf.score_all(own, "text", [whole], "doc_id")
+    got = {r.doc_id: r.scores[0] for r in x.collect()}
+    assert all(abs(got[k] - 1 / (1 + np.exp(-(v @ want[:-1] + want[-1])))) < 5e-3 for k, v in dense.items())
+
+
 def test_condition_texts(spark):
     df = spark.createDataFrame([(1, "see https://a.b/c now (Reuters) on Monday please"), (2, "plain words only")], "id int, t string")
     of = lambda c: [r.condition_text for r in masks.condition_texts(df, "id", "t", c, 3).orderBy("id").collect()]
