@@ -231,6 +231,18 @@ def test_models_of_one_task_and_of_all_are_the_same(spark):
     assert all(abs(got[k] - 1 / (1 + np.exp(-(v @ want[:-1] + want[-1])))) < 5e-3 for k, v in dense.items())
 
 
+def test_a_grid_is_few_passes_whatever_its_models(spark):
+    from palimpsest.operators import tfidf
+
+    df = _labelled_texts(spark).persist()
+    spark.sparkContext.setJobGroup("grid", "grid")
+    cells = tfidf.run_grid(df, (1, 2, 3), ("C0", "S"), n=20).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(cells) == 24 and all(r.n_test == (15 if r.kind == "in" else 60) for r in cells)
+    # A model fitted by distributed steps alone takes tens of jobs; here are twelve models.
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("grid")) < 150
+
+
 def test_condition_texts(spark):
     df = spark.createDataFrame([(1, "see https://a.b/c now (Reuters) on Monday please"), (2, "plain words only")], "id int, t string")
     of = lambda c: [r.condition_text for r in masks.condition_texts(df, "id", "t", c, 3).orderBy("id").collect()]
