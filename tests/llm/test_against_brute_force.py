@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import pathlib
 import random
 import re
 import zlib
@@ -426,6 +427,75 @@ def test_long_texts_in_pieces(monkeypatch):
     assert np.allclose(langid.features(*two), shares)
 
 
+def test_toxicity_is_learned_from_every_labelled_row(spark):
+    """A word that only toxic rows beyond the first 2,500 (by hash) have."""
+    ids = spark.range(4000).selectExpr("id", "xxhash64(cast(id as string), 'toxic') as o", "crc32(cast(cast(id as string) as binary)) % 5 as fold")
+    late = {r.id for r in ids.where("fold <> 0").orderBy("o").tail(500)}
+    held = [r.id for r in ids.where("fold = 0").collect()]
+    assert len(held) > 500
+    rows = [(i, "zebra crossing" if i in late or i in held[:200] else "violet evening") for i in range(4000)] + [(i, f"plain w{i} words x{i % 97}") for i in range(4000, 6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, spark.createDataFrame([(i, int(i < 4000)) for i, _ in rows], "doc_id long, toxic int")).collect()}
+    assert len(got) == 6000 and all(got[i].predicted == 1 and got[i].score > 0.8 for i in held[:200])
+    assert np.mean([got[i].predicted for i in range(4000, 6000)]) < 0.02
+
+
+def labelled_by_hand():
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(30))), rng.choice(["de", "en", None])) for i in range(900)]
+    rows += [rows[7], (7, "another text of an id", "fr"), (None, "w1 w2", "en"), (11, None, "en"), (12, " ".join(f"w{i % 400}é" for i in range(3000)), "en")]
+    return rows, [(i, rng.randrange(2)) for i in range(0, 900, 2)] + [(7, 0), (7, 1), (None, 1), (11, 1), (20, None), (5000, 1)]
+
+
+def test_toxicity_counts_and_cuts_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "ROWS_A_SHARD", 50)
+    monkeypatch.setattr(toxicity, "PIECE", 2000)
+    rows, labels = labelled_by_hand()
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    label = {}
+    for i, y in labels:
+        if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5:
+            label[i] = max(y, label.get(i, 0))
+    want = sorted((t, label[i], g or "") for i, t, g in rows if i in label and t is not None)
+    shards = toxicity.Shards(spark, *toxicity.labelled(docs, lab, "doc_id", "toxic"))
+    assert sorted((r.text, r.label, r.lang or "") for r in shards.rows.collect()) == want
+    assert len(list(pathlib.Path(shards.rows._scratch_path.removeprefix("file:")).glob("*.parquet"))) == -(-len(want) // 50)
+    met = np.zeros((toxicity.VIEWS << toxicity.BITS, 2))
+    net = small_net()
+    grid = {}
+    for t, y, g in want:
+        data = np.frombuffer(t.encode(), np.uint8)
+        ids, doc = toxicity.views(data, np.array([0, len(data)]))
+        met[np.unique(ids + (np.arange(toxicity.VIEWS) << toxicity.BITS)), 1 - y] += 1
+        z = np.log(1 / (1 / net.score(ids, np.array([0, len(ids)]))[0] - 1))
+        for k in {None, g or None}:
+            grid.setdefault(k, []).append((z, y))
+    part = shards.rows.select("text", "label", "o")
+    assert (shards.sums(part, toxicity._count, 2, len(met)) == met).all()
+    cuts = toxicity.find_cuts(shards, shards.rows, net)
+    assert set(cuts) == {None, "de", "en"}
+    for k, cut in cuts.items():
+        z, y = np.array(grid[k]).T
+
+        def f1(c):
+            return 2 * y[z >= c].sum() / ((z >= c).sum() + y.sum())
+
+        assert f1(cut) >= max(f1(np.floor(c * toxicity.GRID) / toxicity.GRID) for c in z) - 1e-3
+    shards.scratch.drop(shards.rows)
+
+
+def test_long_texts_are_learned_from_whole(monkeypatch):
+    rng = random.Random(4)
+    text = " ".join(f"w{rng.randrange(5000)}{'é' * rng.randrange(3)}" for _ in range(3000))
+    data, off = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+    net = small_net()
+    ids, _ = toxicity.views(data, off)
+    top, win = net.peaks(ids, np.array([0, len(ids)]))
+    monkeypatch.setattr(toxicity, "PIECE", 97)
+    t, w = net.peaks_long(data)
+    assert np.allclose(t, top, atol=1e-5) and (w == win)[top > 0].all()
+
+
 def test_codewords_are_decoded(spark):
     rng = np.random.default_rng(3)
     code = langid.codebook(5)
